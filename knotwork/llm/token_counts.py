@@ -24,20 +24,25 @@ def prefix_table(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     store.bounded_batches(df.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
+
         from knotwork.llm.chunk_bpe import counter
 
         count = counter(tokenizer).count
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
             deltas = count(texts)
-            pdf["n_bytes"] = [len(t.encode()) if t else 0 for t in texts]
-            pdf["n_tokens"] = [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in deltas]
-            pdf["prefix_deltas"] = deltas
-            yield pdf[["id", "n_bytes", "n_tokens", "prefix_deltas"]]
+            columns = [
+                batch.column(0),
+                pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
+                pa.array([int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in deltas], pa.int64()),
+                pa.array(deltas, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "prefix_deltas"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long, prefix_deltas binary")
+    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, prefix_deltas binary")
     return out.withColumnRenamed("id", id_col)
 
 
