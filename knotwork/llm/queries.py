@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, embedding_dups, packing, sharding, simhash, store, token_counts, token_files
+from knotwork.llm import chat, decontaminate, embedding_dups, line_dedup, packing, sharding, simhash, store, token_counts, token_files
 
 
 def bpe_path() -> str:
@@ -55,8 +55,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(store.written(chat.format_conversations(rows), "chat-segments"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: lines with content before and after, and a digest of the text that stays."""
+    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_kept", F.md5("text").alias("text_md5"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op5_packing, op6_simhash, op7_embedding_dups, op9_chat_format)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op5_packing, op6_simhash, op7_embedding_dups, op8_line_dedup, op9_chat_format, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
