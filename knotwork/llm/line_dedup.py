@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.llm import store
+
 SHORT = 16
 
 
@@ -41,9 +43,19 @@ def _row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(text_col).alias("row_hash")]
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
+def _distinct(lines: DataFrame, scope: str) -> DataFrame:
+    """Distinct lines with their first places, written in buckets of their hashes.
+
+    Whatever is joined with it on the hashes later moves alone; the texts stay where they are.
+    """
+    spark = lines.sparkSession
     first = F.min(F.struct("ord", "row_hash", "line_no")).alias("at")
-    return lines.groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("blank").alias("blank"))
+    made = lines.groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("blank").alias("blank"))
+    path = store.fresh(spark, "distinct-lines", scope)
+    name = "knotwork_" + path.rpartition("-")[2]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+    return spark.table(name)
 
 
 def _halves(lines: DataFrame) -> DataFrame:
@@ -58,14 +70,19 @@ def _halves(lines: DataFrame) -> DataFrame:
         after = (F.lit(1), F.substring("line", n - keep + 1, keep), F.substring("line", F.lit(1), n - keep))
         for side, same, rest in (before, after):
             out.append(F.struct(F.xxhash64(size, side, same).alias("half"), rest.alias("rest"), F.lit(bool(longer)).alias("longer")))
-    return lines.where(~F.col("blank") & (n >= SHORT)).select("h1", "h2", "at", F.explode(F.array(*out)).alias("x")).select("h1", "h2", "at", "x.*")
+    known = [c for c in ("halves",) if c in lines.columns]
+    rows = lines.where(~F.col("blank") & (n >= SHORT)).select("h1", "h2", "at", *known, F.explode(F.array(*out)).alias("x"))
+    return rows.select("h1", "h2", "at", *known, "x.*")
 
 
 def _near(distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines with the earliest line, of another text, found one edit away: (e1, e2)."""
     halves = _halves(distinct)
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = halves.join(shared, "half", "left_semi")
+    slim = halves.select("h1", "h2", "half")
+    shared = slim.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    chosen = slim.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.collect_set("half").alias("halves"))
+    # The texts are cut again for the lines that share a half, four halves each at most.
+    some = _halves(distinct.join(chosen, ["h1", "h2"])).where(F.array_contains("halves", F.col("half"))).drop("halves")
     n = F.length("rest")
     # Places of the edit: each code point for a replacement or a deletion; -1 for the line as it is.
     some = some.withColumn("place", F.explode(F.when(F.col("longer"), F.sequence(F.lit(0), n - 1)).otherwise(F.sequence(F.lit(-1), n - 1))))
@@ -85,7 +102,7 @@ def _near(distinct: DataFrame) -> DataFrame:
     return pairs.groupBy("h1", "h2").agg(F.min("met").alias("met")).select("h1", "h2", F.col("met.h1").alias("e1"), F.col("met.h2").alias("e2"))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
     """All rows with their text without duplicate lines, and n_lines, n_kept (lines with content).
 
     Null texts stay null, empty and blank ones stay as they are (n_lines 0). A row that loses all its
@@ -93,7 +110,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     row has no line of its own. Null ids come last in order. n_lines and n_kept replace columns of
     those names; the names at, blank, h1, h2, ord, row_hash and line_no are free for the caller's use.
     """
-    distinct = _distinct(_lines(df, id_col, text_col))
+    distinct = _distinct(_lines(df, id_col, text_col), scope)
     near = _near(distinct)
     own = distinct.select("h1", "h2", F.col("line").alias("own"))
     other = distinct.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"))
