@@ -10,8 +10,10 @@ whole text, special strings included, as none of them holds white space.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -23,31 +25,33 @@ CHUNK = re.compile(f"[{SURE}{UNSURE}]*[^{SURE}{UNSURE}]+(?:[{UNSURE}][{SURE}{UNS
 INNER_SPACE = re.compile(f"[^{SURE}{UNSURE}][{SURE}{UNSURE}]")
 
 #: Entries of each of the two cache generations in a Python worker, about 200 bytes each.
-CACHE = 250_000
+CACHE = 400_000
 #: Chunks longer than this are not cached.
 LONG = 200
 #: A rank after all merges.
 NEVER = 1 << 60
 
 
-class TwoGenerations(dict):
+class TwoGenerations:
     """A bounded cache: when full, the younger generation becomes the older one."""
 
     def __init__(self) -> None:
+        self.young: dict = {}
         self.old: dict = {}
 
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
-        return value
-
     def unknown(self, keys: set) -> set:
-        return keys - self.keys() - self.old.keys()
+        """Keys in neither generation; those of the older one move to the younger."""
+        missing = keys.difference(self.young)
+        new = missing.difference(self.old)
+        if len(new) < len(missing):
+            young, old = self.young, self.old
+            for k in missing.difference(new):
+                young[k] = old[k]
+        return new
 
     def turn(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
 
 
 class ChunkEncoder:
@@ -61,16 +65,18 @@ class ChunkEncoder:
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = TwoGenerations()
-        self.simple = re.compile(f" [^{SURE}{UNSURE}]+")
+        self.simple = re.compile(f" [^{SURE}{UNSURE}]{{1,{LONG}}}")
+        # What all special strings begin with, so that a chunk without it holds none.
+        self.lead = os.path.commonprefix(self.special)[:2] or "" if self.special else "\0"
 
     def _fill(self, chunks: list[list[str]]) -> dict[str, bytes]:
         """Put unknown chunks in the cache; returns the long ones, which are not kept."""
-        new = self.cache.unknown(set().union(*chunks))
-        plain, rest = [], []
-        for c in new:
-            whole = self.simple.fullmatch(c) and not any(s in c for s in self.special)
-            (plain if whole else rest).append(c)
+        new = self.cache.unknown(set(chain.from_iterable(chunks)))
+        simple, lead = self.simple.fullmatch, self.lead
+        plain = [c for c in new if simple(c) and lead not in c]
+        rest = list(new.difference(plain))
         once: dict[str, bytes] = {}
+        young = self.cache.young
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -80,18 +86,19 @@ class ChunkEncoder:
                 continue
             raw, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
             for c, a, b in zip(part, edges, edges[1:]):
-                (once if len(c) > LONG else self.cache)[c] = raw[a:b]
+                young[c] = raw[a:b]
         for k in range(0, len(rest), 2000):
             part = rest[k : k + 2000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (once if len(c) > LONG else self.cache)[c] = np.array(e.ids, dtype="<u4").tobytes()
+                (once if len(c) > LONG else young)[c] = np.array(e.ids, dtype="<u4").tobytes()
         return once
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty)."""
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
         once = self._fill(chunks)
-        get = self.cache.__getitem__ if not once else lambda c: once[c] if c in once else self.cache[c]
+        young = self.cache.young
+        get = young.__getitem__ if not once else lambda c: once[c] if c in once else young[c]
         out = [b"".join(map(get, c)) for c in chunks]
         self.cache.turn()
         return out
@@ -205,14 +212,14 @@ class PrefixCounter:
         lead = len(chunk) - len(body)
         if INNER_SPACE.search(body) or body[:1] in UNSURE_SET or any(s in chunk for s in self.special):
             return pack(self._library(chunk))
-        known, out = self.points, []
+        known, old, out = self.points.young, self.points.old, []
         for word in self.words.findall(chunk):
             d = known.get(word)
-            if d is None and word not in known.old:
-                d = self._points(word)
+            if d is None:
+                d = old.get(word) or self._points(word)
                 if len(word) <= LONG:
                     known[word] = d
-            out.append(known[word] if d is None else d)
+            out.append(d)
         whole = b"".join(out)
         if lead > 1:
             # A prefix that ends in the leading white space holds it as one word.
@@ -228,10 +235,11 @@ class PrefixCounter:
         """Differences of the prefix counts of each text (null: empty), one signed byte a code point."""
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
         once = {}
-        for c in self.cache.unknown(set().union(*chunks)):
-            (once if len(c) > LONG else self.cache)[c] = self.deltas(c)
+        for c in self.cache.unknown(set(chain.from_iterable(chunks))):
+            (once if len(c) > LONG else self.cache.young)[c] = self.deltas(c)
         self.points.turn()
-        get = self.cache.__getitem__ if not once else lambda c: once[c] if c in once else self.cache[c]
+        young = self.cache.young
+        get = young.__getitem__ if not once else lambda c: once[c] if c in once else young[c]
         out = [b"".join(map(get, c)) for c in chunks]
         self.cache.turn()
         return out

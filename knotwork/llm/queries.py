@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, decontaminate, embedding_dups, line_dedup, packing, sharding, simhash, store, token_counts, token_files
+from knotwork.llm import chat, decontaminate, embedding_dups, line_dedup, packing, sharding, simhash, store, token_counts, token_files, weak_labels
 
 
 def bpe_path() -> str:
@@ -34,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(_table(spark, sf_dir, "documents"), bpe_path(), 1024)
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weak_labels.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "votes", "posterior", "score", "rejected")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe_path(), 1024, 2)
 
@@ -66,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op5_packing, op6_simhash, op7_embedding_dups, op8_line_dedup, op9_chat_format, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_weak_labels, op5_packing, op6_simhash, op7_embedding_dups, op8_line_dedup, op9_chat_format, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
