@@ -45,19 +45,20 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long. Null and empty texts have zero."""
+    """(id, row_hash, fp) of every row; fp is the fingerprint as a signed long. Null and empty texts have zero."""
     store.bounded_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = [fingerprint(t, words, seed) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, words, seed) for t in batch.column(2).to_pylist()]
             made = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["id", "row_hash", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row_hash long, fp long")
 
 
 def signed(mask: int) -> int:
@@ -159,7 +160,7 @@ def links(distinct: DataFrame, radius: int = 3, scope: str = "") -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
-    """id, fp (signed long) and component_id of every row.
+    """id, row_hash, fp (signed long) and component_id of every row.
 
     component_id is the least id that is reached by links, the row's own included. Null ids never
     become a component_id unless a component has no other. Repeated ids keep their rows. Null and
@@ -171,7 +172,20 @@ def near_duplicates(df: DataFrame, radius: int = 3, words: int = 3, seed: int =
     placed = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = store.written(placed.join(classes, "root").select("fp", "component_id"), "simhash-classes", scope)
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, radius: int = 3, words: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
+    """One row of each component, with all its columns: the least by id (null ids last), then by hash of the text."""
+    rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "row_hash")
+    found = near_duplicates(df, radius, words, seed, id_col, text_col, scope).withColumn("rank", rank)
+    # A component is known by its least fingerprint's class, so components without ids stay apart.
+    best = found.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    best = best.unionByName(found.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("rank").alias("rank")).select(F.lit(None).cast("long").alias("component_id"), "rank"))
+    keys = best.select(F.col("rank.i").alias("__i"), F.col("rank.row_hash").alias("__h")).distinct()
+    kept = df.withColumn("__row", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__h")), "left_semi").drop("__row")
+    repeated = found.groupBy(id_col, "row_hash").count().where("count > 1")
+    return kept.dropDuplicates([id_col, text_col]) if not repeated.isEmpty() else kept
 
 
 def hex_print(fp) -> Column:

@@ -29,7 +29,7 @@ from knotwork.llm import store
 SAMPLE = 8000
 BUCKETS = 1 << 18
 #: A mined word or beginning is held by so many labelled toxic documents at least, and this share of its documents is toxic.
-MINED_FROM, MINED_SHARE = 8, 0.8
+MINED_FROM, MINED_SHARE = 8, 0.97
 #: Hashed features that the scorer weighs are held by so many sampled documents at least.
 SEEN = 10
 WORD = re.compile(r"\w+")
@@ -74,7 +74,7 @@ def votes(text: str | None, words: list[str], distinct: set[str], mined: tuple[f
     fired = (
         sum(map(text.count, SYMBOLS)) > 0.04 * n,
         text.count("|") > 0.02 * n,
-        letters < 0.7 * (n - text.count(" ") - text.count("\n")),
+        len(raw) >= 5 and letters < 0.7 * (n - text.count(" ") - text.count("\n")),
         len(raw) >= 10 and upper > 0.4 * len(raw),
         text.count("!!") > 0.02 * n,
         len(raw) >= 30 and top > 0.25 * len(raw),
@@ -120,8 +120,11 @@ def posteriors(counts: dict[int, int]) -> dict[int, float]:
     return dict(zip(patterns.tolist(), _posterior(fired, share, good, bad).tolist()))
 
 
-def fit(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
-    """Weights of the hashed features, the intercept last, by Adam on the logistic loss."""
+def fit(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 400, penalty: float = 3e-3) -> np.ndarray:
+    """Weights of the hashed features, the intercept last, by Adam on the logistic loss.
+
+    Votes are all but free of the penalty, so that words count only for what votes do not explain.
+    """
     weights = np.zeros(BUCKETS + 1)
     if not len(rows):
         return weights
@@ -131,14 +134,15 @@ def fit(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 300, penalty: fl
     used, place = np.flatnonzero(seen), np.cumsum(seen) - 1
     keep = seen[flat]
     flat, doc = place[flat[keep]], doc[keep]
+    weigh = np.where(np.isin(used, [feature(f"vote:{k}") for k in range(len(LABELLERS))]), penalty / 1000, penalty)
     w, b = np.zeros(len(used)), float(np.log((soft.mean() + 1e-6) / (1 - soft.mean() + 1e-6)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[flat], len(rows)) + b, -30, 30)))
         miss = (p - soft) / len(rows)
-        g = np.append(np.bincount(flat, miss[doc], len(used)) + penalty * w, miss.sum())
+        g = np.append(np.bincount(flat, miss[doc], len(used)) + weigh * w, miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = 0.04 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     weights[used], weights[-1] = w, b
     return weights
@@ -199,42 +203,63 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[frozenset, frozenset]:
     return out[0], out[1]
 
 
+class Model:
+    """What is fitted: mined words, the posterior of each vote pattern, and the scorer's weights."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, scope: str) -> None:
+        store.bounded_batches(docs.sparkSession)
+        self.mined = mine(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
+        rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
+        cast = store.written(rows.mapInArrow(_vote_rows(self.mined, _sampled(docs.count())), "votes int, features binary"), "votes", scope)
+        self.soft = posteriors({r["votes"]: r["n"] for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()})
+        sample = [(r["votes"], np.frombuffer(r["features"], dtype=np.int32)) for r in cast.where("features is not null").toLocalIterator()]
+        self.own = [np.array([feature(f"vote:{k}") for k in range(len(LABELLERS)) if v >> k & 1], dtype=np.int32) for v in range(1 << len(LABELLERS))]
+        rows = [np.unique(np.concatenate([f, self.own[v]])) for v, f in sample]
+        self.weights = fit(rows, np.array([self.soft[v] for v, _ in sample])).astype(np.float32)
+
+    def score(self, text: str | None, features: Features) -> tuple[int, float, float]:
+        """Votes, posterior and score of a text."""
+        words = _words(text)
+        distinct = set(words)
+        v = votes(text, words, distinct, self.mined)
+        ids = np.fromiter(features.of(distinct) | set(self.own[v].tolist()), dtype=np.int64)
+        z = float(self.weights[ids].sum(dtype=np.float64) + self.weights[-1])
+        return v, self.soft.get(v, 1.0), float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
-    """id, row_hash, votes (bits), posterior, score and rejected of every row.
+    """id, votes (bits), posterior, score and rejected of every row.
 
     labels: doc_id, quality, toxic; only toxic is used. Null and empty texts get no votes and are kept
     (score: the scorer's intercept). Repeated ids are scored row by row. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    store.bounded_batches(spark)
-    mined = mine(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
-    n = docs.count()
-    rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
-    cast = store.written(rows.mapInArrow(_vote_rows(mined, _sampled(n)), "votes int, features binary"), "votes", scope)
-    counts = {r["votes"]: r["n"] for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    soft = posteriors(counts)
-    sample = [(r["votes"], np.frombuffer(r["features"], dtype=np.int32)) for r in cast.where("features is not null").toLocalIterator()]
-    own = [np.array([feature(f"vote:{k}") for k in range(len(LABELLERS)) if v >> k & 1], dtype=np.int32) for v in range(1 << len(LABELLERS))]
-    weights = fit([np.unique(np.concatenate([f, own[v]])) for v, f in sample], np.array([soft[v] for v, _ in sample]))
+    model = Model(docs, labels, id_col, text_col, scope)
 
     def run(batches):
         import pyarrow as pa
 
         features = Features()
         for batch in batches:
-            fired, posterior, score = [], [], []
-            for text in batch.column(2).to_pylist():
-                words = _words(text)
-                distinct = set(words)
-                v = votes(text, words, distinct, mined)
-                ids = np.fromiter(features.of(distinct) | set(own[v].tolist()), dtype=np.int64)
-                fired.append(v)
-                posterior.append(soft.get(v, 1.0))
-                score.append(float(1 / (1 + np.exp(-np.clip(weights[ids].sum() + weights[-1], -30, 30)))))
-            made = [batch.column(0), batch.column(1), pa.array(fired, pa.int32()), pa.array(posterior, pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(made, ["id", "row_hash", "votes", "posterior", "score", "rejected"])
+            fired, posterior, score = zip(*[model.score(t, features) for t in batch.column(1).to_pylist()]) if batch.num_rows else ((), (), ())
+            made = [batch.column(0), pa.array(fired, pa.int32()), pa.array(posterior, pa.float64()), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, ["id", "votes", "posterior", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, row_hash long, votes int, posterior double, score double, rejected boolean"
-    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return out.mapInArrow(run, f"id {kind}, votes int, posterior double, score double, rejected boolean").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
+    """The rows that `classify` does not reject, with all their columns, in one pass and no join."""
+    model = Model(docs, labels, id_col, text_col, scope)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        features = Features()
+        for batch in batches:
+            good = [model.score(t, features)[2] < 0.5 for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
