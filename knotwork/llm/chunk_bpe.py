@@ -25,13 +25,26 @@ CHUNK = re.compile(f"[{SURE}{UNSURE}]*[^{SURE}{UNSURE}]+(?:[{UNSURE}][{SURE}{UNS
 INNER_SPACE = re.compile(f"[^{SURE}{UNSURE}][{SURE}{UNSURE}]")
 
 #: Entries of each of the two cache generations in a Python worker, about 200 bytes each.
-CACHE = 400_000
+CACHE = 600_000
 #: Chunks longer than this are not cached.
 LONG = 200
 #: A rank after all merges.
 NEVER = 1 << 60
 
 
+def slices(texts: list[str | None], most: int = 3_000_000):
+    """The texts in runs of about so many code points, so that the chunks held at once are bounded."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t or "")
+        if held >= most:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 class TwoGenerations:
     """A bounded cache: when full, the younger generation becomes the older one."""
 
@@ -95,6 +108,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty)."""
+        return list(chain.from_iterable(map(self._encode, slices(texts))))
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
         once = self._fill(chunks)
         young = self.cache.young
@@ -233,6 +249,9 @@ class PrefixCounter:
 
     def count(self, texts: list[str | None]) -> list[bytes]:
         """Differences of the prefix counts of each text (null: empty), one signed byte a code point."""
+        return list(chain.from_iterable(map(self._count, slices(texts))))
+
+    def _count(self, texts: list[str | None]) -> list[bytes]:
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
         once = {}
         for c in self.cache.unknown(set(chain.from_iterable(chunks))):

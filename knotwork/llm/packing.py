@@ -124,8 +124,8 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, i
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 256):
-                for doc, run in zip(ids[k : k + 256], encode(texts[k : k + 256])):
+            for k in range(0, len(ids), 1000):
+                for doc, run in zip(ids[k : k + 1000], encode(texts[k : k + 1000])):
                     run += tail
                     for piece, (start, length) in enumerate(cut(len(run) // 4, capacity)):
                         crc = zlib.crc32(memoryview(run)[4 * start : 4 * (start + length)])

@@ -200,8 +200,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int, p
             return pd.DataFrame({"part": [part], "file": [file], "uri": [uri], "n_docs": [len(docs)], "n_tokens": [held]})
 
         for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part_rows = pdf.iloc[k : k + 256]
+            for k in range(0, len(pdf), 1000):
+                part_rows = pdf.iloc[k : k + 1000]
                 if part_rows["id"].isna().any():
                     raise ValueError("token files need document ids that are not null")
                 docs += part_rows["id"].astype("int64").tolist()
