@@ -25,17 +25,19 @@ def components(links: DataFrame, scope: str = "") -> DataFrame:
     labels, left = nodes.withColumn("root", F.col("node")), not edges.isEmpty()
     while left:
         hooks = store.written(edges.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks", scope)
-        while True:
-            onward = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("next"))
-            jumped = hooks.join(onward, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"), F.col("next").isNotNull().alias("moved"))
+        moved = True
+        while moved:
+            # Two doublings for each table that is written.
+            for _ in range(2):
+                onward = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("next"))
+                jumped = hooks.join(onward, "lo", "left").select("hi", F.coalesce("next", "lo").alias("lo"), F.col("next").isNotNull().alias("moved"))
+                hooks = jumped.select("hi", "lo")
             jumped = store.written(jumped, "hooks", scope)
-            hooks = jumped.select("hi", "lo")
-            if jumped.where("moved").isEmpty():
-                break
+            hooks, moved = jumped.select("hi", "lo"), not jumped.where("moved").isEmpty()
         labels = labels.join(hooks.select(F.col("hi").alias("root"), F.col("lo").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         a = hooks.select("hi", F.col("lo").alias("a"))
         b = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("b"))
-        moved = edges.join(a, "hi", "left").join(b, "lo", "left").select(F.coalesce("a", "hi").alias("a"), F.coalesce("b", "lo").alias("b"))
-        edges = store.written(moved.select(hi, lo).where("hi > lo").distinct(), "links", scope)
+        drawn = edges.join(a, "hi", "left").join(b, "lo", "left").select(F.coalesce("a", "hi").alias("a"), F.coalesce("b", "lo").alias("b"))
+        edges = store.written(drawn.select(hi, lo).where("hi > lo").distinct(), "links", scope)
         left = not edges.isEmpty()
     return labels

@@ -26,7 +26,7 @@ from knotwork.llm import store
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 19, 4
-MAP_LONGS = 1 << 17
+MAP_LONGS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -54,14 +54,16 @@ def _unsigned_shift(x: Column, by: Column) -> Column:
 def _bit_map(hashes: DataFrame) -> tuple[Column, int]:
     """A bit map of the hashes as an array of longs in a scalar subquery, and its length.
 
-    It has about 16 bits for each hash as far as the bound allows; a length is a power of two.
+    It has 512 bits for each hash as far as the bound allows, of which each hash sets two; a length
+    is a power of two.
     """
     count, longs = hashes.count(), 64
-    while longs < min(MAP_LONGS, count // 4):
+    while longs < min(MAP_LONGS, count * 8):
         longs *= 2
-    word = _unsigned_shift(F.col("sh"), F.lit(6)).bitwiseAND(F.lit(longs - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("sh").bitwiseAND(F.lit(63)).cast("int"))
-    filled = hashes.sparkSession.range(longs).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).unionByName(hashes.select(word.alias("w"), bit.alias("b")))
+    bits = F.explode(F.array(F.col("sh"), _unsigned_shift(F.col("sh"), F.lit(32)))).alias("x")
+    word = _unsigned_shift(F.col("x"), F.lit(6)).bitwiseAND(F.lit(longs - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    filled = hashes.sparkSession.range(longs).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).unionByName(hashes.select(bits).select(word.alias("w"), bit.alias("b")))
     filled = filled.groupBy("w").agg(F.bit_or("b").alias("b"))
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"])).scalar(), longs
 
@@ -95,10 +97,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_counts = item_rows.groupBy("no", "sh").agg(F.count("*").alias("in_item"))
     table, longs = _bit_map(item_rows.select("sh").distinct())
 
-    def marked(x: Column) -> Column:
+    def bit_of(x: Column) -> Column:
         word = F.get("map", _unsigned_shift(x, F.lit(6)).bitwiseAND(F.lit(longs - 1)).cast("int"))
         return _unsigned_shift(word, x.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
+    def marked(x: Column) -> Column:
+        return bit_of(x) & bit_of(_unsigned_shift(x, F.lit(32)))
+
     # Each explode holds one value: it keeps the optimizer from repeating the expression in what follows.
     cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.explode_outer(F.array(words(F.col(text_col)))).alias("w"))
     hashed = cut.select("id", "row_hash", F.explode_outer(F.array(shingles(F.col("w")))).alias("all"))
@@ -128,7 +133,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     probes = of_items.select("no", F.col("fp").alias("item_fp"), F.posexplode(_blocks(F.col("fp"))).alias("block", "v"))
     probes = probes.select("no", "item_fp", "block", F.explode(flips).alias("flip"), "v").select("no", "item_fp", "block", F.col("v").bitwiseXOR(F.col("flip")).alias("v"))
     placed = prints.select(*at, "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "v"))
-    close = placed.join(probes, ["no", "block", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # Both sides may be large: no side is broadcast on an estimate.
+    close = placed.join(probes.hint("merge"), ["no", "block", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     close = close.select(*at).distinct()
 
     # Exact weighted similarity.

@@ -78,7 +78,8 @@ def _halves(lines: DataFrame) -> DataFrame:
 def _near(distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines with the earliest line, of another text, found one edit away: (e1, e2)."""
     halves = _halves(distinct)
-    slim = halves.select("h1", "h2", "half")
+    # Dealt by half once, for the count and for the members.
+    slim = halves.select("h1", "h2", "half").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "half")
     shared = slim.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     chosen = slim.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.collect_set("half").alias("halves"))
     # The texts are cut again for the lines that share a half, four halves each at most.
