@@ -12,13 +12,17 @@ from knotwork.operators import graph
 DIMENSION = 256
 
 
-def embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """A unit vector of hashed word counts: the offline default behind the embedding interface."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def embed(df: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION) -> DataFrame:
+    """(id, embedding): unit vectors of hashed word counts, the offline default of the embedding interface.
+
+    Counts are partially aggregated by id and slot; a text without words has the zero vector.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    slots = df.select(F.col(id_col).alias("id"), F.explode_outer(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))).alias("slot"))
+    counts = slots.groupBy("id", "slot").agg(F.count("slot").cast("double").alias("n"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    at = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0))
+    return held.select(F.col("id").alias(id_col), F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at).alias("embedding"))
 
 
 def distance(a, b) -> Column:

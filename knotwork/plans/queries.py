@@ -116,7 +116,7 @@ def _(c):
     return D.ground_refs(refs, c.kg_nodes)
 
 
-@query("mention_trust", f"""{_GROUND} select count_if(hit) as high, count_if(not hit and plane = 'jira') as medium, count_if(not hit and plane = 'nexus') as ungrounded from hits""", "kg_nodes", "kg_episodes")
+@query("mention_trust", f"""{_GROUND} select cast(count_if(hit) as bigint) as high, cast(count_if(not hit and plane = 'jira') as bigint) as medium, cast(count_if(not hit and plane = 'nexus') as bigint) as ungrounded from hits""", "kg_nodes", "kg_episodes")
 def _(c):
     e = c.kg_episodes
     refs = e.select("episode_id", F.lit("nexus").alias("plane"), F.col("nexus_ref").alias("ref")).unionAll(e.select("episode_id", F.lit("jira"), "jira_ref"))
@@ -215,8 +215,8 @@ def _(c):
     return Q.ripeness_drift(c.kg_nodes.withColumn("ripe", F.lit("fresh")), "ripe", TODAY)
 
 
-_SOME = "some as (select * from kg_edges where not (etype = 'SERVES' and src like 'cust-%5'))"
-_GAPS = f"{_SOME}, ends as (select src as node_id from some union select dst from some), gap as (select node_id, title, case when node_id not in (select node_id from ends) then 'isolated' when node_type = 'system-component' and node_id not in (select src from some where etype = 'SERVES') then 'no-serves' end as reason from kg_nodes)"
+_SOME = "fewer as (select * from kg_edges where not (etype = 'SERVES' and src like 'cust-%5'))"
+_GAPS = f"{_SOME}, ends as (select src as node_id from fewer union select dst from fewer), gap as (select node_id, title, case when node_id not in (select node_id from ends) then 'isolated' when node_type = 'system-component' and node_id not in (select src from fewer where etype = 'SERVES') then 'no-serves' end as reason from kg_nodes)"
 
 
 def _some(c: Catalog) -> DataFrame:
@@ -449,12 +449,12 @@ def _(c):
 
 @query("text_embeddings")
 def _(c):
-    return c.documents.select("doc_id", V.embed(F.col("text"), 32).alias("embedding"))
+    return V.embed(c.documents, "doc_id", "text", 32)
 
 
 @query("insight_rollup", f"""with {_NORM} select (select count(distinct node_id) from kg_nodes) as nodes, (select count(*) from kg_edges) as edges, (select count(*) from (select distinct least(src, dst), greatest(src, dst) from kg_edges)) as pairs,
-(select count(*) from kg_nodes where node_id not in (select src from kg_edges union select dst from kg_edges)) as isolated, count(*) as claims, count_if(grounded_node in (select node_id from kg_nodes)) as grounded,
-count_if(grounded_node not in (select node_id from kg_nodes)) as ungrounded, count_if(superseded_by is not null) as superseded from claims""", "kg_claims", "kg_nodes", "kg_edges")
+(select count(*) from kg_nodes where node_id not in (select src from kg_edges union select dst from kg_edges)) as isolated, count(*) as claims, cast(count_if(grounded_node in (select node_id from kg_nodes)) as bigint) as grounded,
+cast(count_if(grounded_node not in (select node_id from kg_nodes)) as bigint) as ungrounded, cast(count_if(superseded_by is not null) as bigint) as superseded from claims""", "kg_claims", "kg_nodes", "kg_edges")
 def _(c):
     return I.rollup(c.kg_nodes, c.kg_edges, C.normalise(c.kg_claims))
 
@@ -486,7 +486,7 @@ def _(c):
     return I.diff_edges(nodes, edges, c.kg_edges)
 
 
-@query("snapshot_kr_delta", f"with {_COVER}, b as (select distinct goal, episode from cover where substring(episode, 7, 10) < '2000-01-01'), n as (select distinct goal, episode from cover where substring(episode, 7, 10) >= '1996-01-01') select coalesce(b.goal, n.goal) as goal, count_if(b.goal is null) as gained, count_if(n.goal is null) as lost from b full join n on b.goal = n.goal and b.episode = n.episode group by 1", "kg_edges")
+@query("snapshot_kr_delta", f"with {_COVER}, b as (select distinct goal, episode from cover where substring(episode, 7, 10) < '2000-01-01'), n as (select distinct goal, episode from cover where substring(episode, 7, 10) >= '1996-01-01') select coalesce(b.goal, n.goal) as goal, cast(count_if(b.goal is null) as bigint) as gained, cast(count_if(n.goal is null) as bigint) as lost from b full join n on b.goal = n.goal and b.episode = n.episode group by 1", "kg_edges")
 def _(c):
     serve = c.kg_edges.where("etype = 'SERVES'").select(F.col("src").alias("item"), F.col("dst").alias("goal"))
     mention = c.kg_edges.where("etype = 'MENTIONS'").select(F.col("src").alias("episode"), F.col("dst").alias("item"))
@@ -502,7 +502,7 @@ def _(c):
     return I.contexts(c.kg_nodes.where("node_type <> 'episode'"), c.kg_edges.where("etype = 'SERVES'"), bad)
 
 
-@query("reflexion_share", "select (select count(*) from documents) as contexts, count_if(quality = 1) as understood, count_if(quality <> 1) as not_understood, round(count_if(quality = 1) / cast((select count(*) from documents) as double), 6) as share from labels")
+@query("reflexion_share", "select (select count(*) from documents) as contexts, cast(count_if(quality = 1) as bigint) as understood, cast(count_if(quality <> 1) as bigint) as not_understood, round(count_if(quality = 1) / cast((select count(*) from documents) as double), 6) as share from labels")
 def _(c):
     return I.reflexion(c.documents.select("doc_id"), c.labels.select((F.col("quality") == 1).alias("understood")))
 

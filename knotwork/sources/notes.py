@@ -32,7 +32,8 @@ def scan(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFram
             for p in pdf["path"]:
                 with open(p, encoding="utf-8", errors="replace") as f:
                     texts.append(f.read())
-            yield pdf.assign(text=texts)
+            pdf["text"] = texts
+            yield pdf
 
     return paths.mapInPandas(read, "scan_ord long, path string, rel_path string, text string")
 
@@ -65,10 +66,13 @@ def parse(notes: DataFrame) -> DataFrame:
                         value, kind, rest = (loaded, "ok", m[2]) if isinstance(loaded, dict) else ({}, "error", text)
                     except yaml.YAMLError:
                         kind = "error"
-                fields.append([(str(k), json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)) for k, v in value.items() if v is not None])
+                fields.append({str(k): json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v) for k, v in value.items() if v is not None})
                 bodies.append(rest)
                 status.append(kind)
-            yield pdf.assign(fields=fields, body=bodies, status=status)
+            import pandas as pd
+
+            kept = {c: pdf[c].tolist() for c in columns}
+            yield pd.DataFrame({**kept, "fields": fields, "body": bodies, "status": status})
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in notes.dtypes)
     return notes.mapInPandas(run, f"{kinds}, fields map<string,string>, body string, status string").select(*columns, "fields", "body", "status")
