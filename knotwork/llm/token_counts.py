@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from knotwork.llm import store
 
@@ -46,12 +47,12 @@ def prefix_table(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return out.withColumnRenamed("id", id_col)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def _tokens_at(deltas: pd.Series, chars: pd.Series) -> pd.Series:
     return pd.Series([None if d is None or n is None else int(np.frombuffer(d, np.int8)[: max(0, int(n))].sum(dtype=np.int64)) for d, n in zip(deltas, chars)], dtype="Int64")
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def _chars_within(deltas: pd.Series, budget: pd.Series) -> pd.Series:
     out = []
     for d, n in zip(deltas, budget):

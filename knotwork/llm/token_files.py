@@ -78,9 +78,10 @@ def encode_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[bytes, np.ndar
     for w in range(int(offset.max()).bit_length()):
         bits += offset >> np.uint32(w) > 0
     width = np.partition(bits, max(0, int(np.ceil(share * BLOCK)) - 1), axis=1)[:, max(0, int(np.ceil(share * BLOCK)) - 1)]
+    width = width.astype(np.int64)
     odd = bits > width[:, None]
     exceptions = odd.sum(axis=1)
-    sizes = 6 + 16 * width.astype(np.int64) + 5 * exceptions
+    sizes = 6 + 16 * width + 5 * exceptions
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
     payload = np.zeros(starts[-1], dtype=np.uint8)
     at = starts[:-1]
