@@ -75,7 +75,7 @@ def queries() -> dict:
 
 
 #: Lines by place; distinct lines by their first place; pairs that share a half and are one edit apart.
-LINES_SQL = """
+LINES_SQL = r"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents where text is not null),
 firsts as (select * from (select *, row_number() over (partition by line order by doc_id, no) as k from lines where regexp_matches(line, '\S')) where k = 1),
 halves as (select line, doc_id, no, length(line) as n, cls, side, case side when 0 then left(line, cls // 2) else right(line, cls - cls // 2) end as half
