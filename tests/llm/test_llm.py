@@ -288,3 +288,17 @@ def test_classifier_on_held_out_rows(spark):
     kept = weak_labels.keep_good(df, lab)
     assert kept.columns == df.columns and 380 <= kept.count() <= 420
     assert weak_labels.classify(df.limit(0), lab.limit(0)).count() == 0
+
+
+def test_similar_texts_of_five_word_shingles(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("lmnopqrst"), 5)) for _ in range(500)]
+    texts = []
+    for _ in range(40):
+        w = list(rng.choice(vocabulary, 200))
+        texts.append(" ".join(w))
+        w[int(rng.integers(200))] = "changed"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["class"] for r in simhash.similar_classes(docs(spark, texts)).collect()}
+    joined = sum(got[2 * k] == got[2 * k + 1] for k in range(40))
+    assert joined >= 36 and len(set(got.values())) == 80 - joined
