@@ -53,42 +53,87 @@ def _hash(batches):
             yield pd.DataFrame({"rep": same["rep"].to_numpy(), "print": same["print"].to_numpy(), "label": same["label"].to_numpy(), "copies": same["copies"].to_numpy(), "embedding": same["embedding"].to_numpy(), "keys": list(got)})
 
 
-def _compare(threshold: float):
-    """Counts and hubs of the vectors of two blocks of a bucket (or of one block with itself)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
-        table = int(pdf["pos"].iloc[0])
-        x, k = _units(pdf["embedding"]), np.array(pdf["keys"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
-        reps, copies, block = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        low = int(pdf["low"].iloc[0])
-        lone = low == int(pdf["high"].iloc[0])
-        left = np.arange(len(pdf)) if lone else np.flatnonzero(block == low)
-        right = left if lone else np.flatnonzero(block != low)
-        ones, others = [], []
-        for s in range(0, len(left), 256):
-            own = left[s : s + 256]
-            i, j = np.nonzero(x[own] @ x[right].T >= threshold)
-            i, j = own[i], right[j]
-            if lone:
-                i, j = i[i < j], j[i < j]
-            for t in range(table):  # a pair belongs to the first table in which it meets
-                apart = k[i, t] != k[j, t]
-                i, j = i[apart], j[apart]
+def _group_links(x: np.ndarray, k: np.ndarray, copies: np.ndarray, block: np.ndarray, table: int, lone: bool, low: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted link counts and hubs (row numbers) of the rows of one pair of blocks, sorted by id."""
+    left = np.arange(len(x)) if lone else np.flatnonzero(block == low)
+    right = left if lone else np.flatnonzero(block != low)
+    ones, others = [], []
+    for s in range(0, len(left), 256):
+        own = left[s : s + 256]
+        i, j = np.nonzero(x[own] @ x[right].T >= threshold)
+        i, j = own[i], right[j]
+        if lone:
+            i, j = i[i < j], j[i < j]
+        if len(i) and table:  # a pair belongs to the first table in which it meets
+            for c in range(0, len(i), 50_000):
+                a, b = i[c : c + 50_000], j[c : c + 50_000]
+                first = ~(k[a, :table] == k[b, :table]).any(axis=1)
+                ones.append(a[first])
+                others.append(b[first])
+        else:
             ones.append(i)
             others.append(j)
-        i, j = np.concatenate(ones or [[]]).astype(int), np.concatenate(others or [[]]).astype(int)
-        links = np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
-        hub, before = np.arange(len(pdf)), None
-        while before is None or (hub != before).any():
-            before = hub.copy()
-            np.minimum.at(hub, i, before[j])
-            np.minimum.at(hub, j, before[i])
-            hub = hub[hub]
-        out = np.flatnonzero(links)
-        return pd.DataFrame({"rep": reps[out], "hub": reps[hub[out]], "links": links[out].astype(np.int64)})
+    i, j = np.concatenate(ones or [[]]).astype(int), np.concatenate(others or [[]]).astype(int)
+    hub, before = np.arange(len(x)), None
+    if not len(i):
+        return np.zeros(len(x)), hub
+    links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+    while before is None or (hub != before).any():
+        before = hub.copy()
+        np.minimum.at(hub, i, before[j])
+        np.minimum.at(hub, j, before[i])
+        hub = hub[hub]
+    return links, hub
+
+
+def _compare(threshold: float):
+    """Reads groups sorted by label, table, key and blocks; gives links and hub of each vector that has any.
+
+    Many groups are small, so they are cut out of whole batches; a group that a batch breaks off waits
+    for the next one. A group holds two blocks at most.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links_of(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            own = lambda n: table.column(n).to_numpy()
+            rep, copies, pos, key, low, high, block, label = (own(n) for n in ("rep", "copies", "pos", "key", "low", "high", "block", "label"))
+            vectors = [np.asarray(v) for v in table.column("embedding").to_numpy()]
+            codes = np.array(table.column("keys").to_pylist(), dtype=np.int64).reshape(len(rep), -1)
+            new = np.ones(len(rep), dtype=bool)
+            new[1:] = (pos[1:] != pos[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (label[1:] != label[:-1])
+            edges = [*np.flatnonzero(new).tolist(), len(rep)]
+            out = [[], [], []]
+            for s, e in zip(edges, edges[1:]):
+                for size in {len(v) for v in vectors[s:e]}:
+                    rows = np.array([i for i in range(s, e) if len(vectors[i]) == size])
+                    rows = rows[np.argsort(rep[rows], kind="stable")]
+                    if len(rows) < 2:
+                        continue
+                    links, hub = _group_links(_units([vectors[i] for i in rows]), codes[rows], copies[rows], block[rows], int(pos[s]), low[s] == high[s], int(low[s]), threshold)
+                    some = np.flatnonzero(links)
+                    out[0] += rep[rows[some]].tolist()
+                    out[1] += rep[rows[hub[some]]].tolist()
+                    out[2] += links[some].astype(np.int64).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "hub", "links"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            names = ("label", "pos", "key", "low", "high")
+            last = [table.column(n)[-1] for n in names]
+            same = np.ones(len(table), dtype=bool)
+            for n, v in zip(names, last):
+                same &= table.column(n).to_numpy() == v.as_py()
+            begin = len(table) - int(same[::-1].argmin()) if not same.all() else 0
+            held = table.slice(begin)
+            if begin:
+                yield links_of(table.slice(0, begin))
+        if held is not None and len(held):
+            yield links_of(held)
 
     return run
 
@@ -120,7 +165,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("rep", "print", "label", "pos", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     full = pairs.join(hashed.select("rep", "print", "label", "copies", "embedding", "keys"), ["rep", "print", "label"])
-    found = full.groupBy("label", "pos", "key", "low", "high").applyInPandas(_compare(threshold), "rep long, hub long, links long")
+    order = ["label", "pos", "key", "low", "high"]
+    full = full.withColumn("label", F.col("label").cast("string")).repartition(*order).sortWithinPartitions(*order)
+    found = full.select(*order, "block", "rep", "copies", "embedding", "keys").mapInArrow(_compare(threshold), "rep long, hub long, links long")
     found = store.written(found, "embedding-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
