@@ -10,6 +10,8 @@ from knotwork.functions import scalars as S
 from knotwork.operators import graph
 
 DIMENSION = 256
+#: Query vectors of one call.
+MOST_QUERIES = 1000
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, dimension: int = DIMENSION) -> DataFrame:
@@ -34,10 +36,13 @@ def distance(a, b) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """(query, id, distance, similarity) of the k nearest vectors of each query, exactly.
 
-    queries (query, q) are a stated, bounded set and go to every task; each task keeps its own k best
-    (a partial top-k) before the merge, so what is shuffled is k rows a task and query.
+    queries (query, q) are a stated set of at most MOST_QUERIES, which is checked, and go to every
+    task; each task keeps its own k best (a partial top-k) before the merge, so what is shuffled is k
+    rows a task and query.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), "embedding").join(F.broadcast(queries.limit(1000)), F.lit(True))
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in several calls")
+    rows = vectors.select(F.col(id_col).alias("id"), "embedding").join(F.broadcast(queries), F.lit(True))
     scored = rows.select("query", "id", F.round(distance("embedding", "q"), 9).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "id")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
