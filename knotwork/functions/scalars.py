@@ -94,7 +94,9 @@ def episode_date(node_id) -> Column:
 
 def severity(reach, conflicting, grounding) -> Column:
     """Weighted sum of reach (0 to 1), conflicting claims and missing grounding (null: one half)."""
-    return F.round(F.least(F.lit(1.0), 0.5 * reach + 0.3 * F.least(conflicting / 3, F.lit(1.0)) + 0.2 * (1 - F.coalesce(grounding, F.lit(0.5)))), 3)
+    raw = F.least(F.lit(1.0), 0.5 * reach + 0.3 * F.least(conflicting / 3, F.lit(1.0)) + 0.2 * (1 - F.coalesce(grounding, F.lit(0.5))))
+    # Nine places first: binary noise must not decide a tie at the third.
+    return F.round(F.round(raw, 9), 3)
 
 
 def similarity(distance) -> Column:

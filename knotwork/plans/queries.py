@@ -418,7 +418,7 @@ def _(c):
     return G.midrank(G.blast_radius(_members(c)), "radius")
 
 
-@query("risk_severity", f"with {_NORM}, {_OPEN}, {_PAIRS}, {_MEMBERS}, {_PCT}, s as (select grounded_node as node, count(*) as n from pairs group by 1), g as (select grounded_node as node, avg(confidence) as gc from claims group by 1) select node, n, round(least(1.0, 0.5 * percentile + 0.3 * least(n / 3.0, 1.0) + 0.2 * (1 - coalesce(gc, 0.5))), 3) as severity from s join g using (node) join blast using (node) join pct using (radius)", "kg_claims")
+@query("risk_severity", f"with {_NORM}, {_OPEN}, {_PAIRS}, {_MEMBERS}, {_PCT}, s as (select grounded_node as node, count(*) as n from pairs group by 1), g as (select grounded_node as node, avg(confidence) as gc from claims group by 1) select node, n, round(round(least(1.0, 0.5 * percentile + 0.3 * least(n / 3.0, 1.0) + 0.2 * (1 - coalesce(gc, 0.5))), 9), 3) as severity from s join g using (node) join blast using (node) join pct using (radius)", "kg_claims")
 def _(c):
     claims = C.normalise(c.kg_claims)
     reach = G.blast_radius(_members(c))
@@ -510,7 +510,7 @@ def _(c):
 _RISKS = f"""{_NORM}, {_OPEN}, {_PAIRS}, {_MEMBERS}, {_PCT}, src as (select 'understanding_gap' as axis, node_id as node, '' as ref, 1 as n, cast(null as double) as grounding from kg_nodes where node_type = 'system-component' and n_sources = 0
 union all select 'expectation_divergence', pairs.grounded_node, concat(a, '-', b), 2, (ca.confidence + cb.confidence) / 2 from pairs join claims ca on ca.ord = a join claims cb on cb.ord = b
 union all select case when aspect in ('purchase', 'error') then 'schedule_slip' else 'requirements_change' end, grounded_node, cast(ord as varchar), 1, confidence from claims where superseded_by is not null or invalid_at is not null or expired_at is not null),
-risks as (select axis, src.node, ref, n, grounding, round(least(1.0, 0.5 * coalesce(percentile, 0.0) + 0.3 * least(n / 3.0, 1.0) + 0.2 * (1 - coalesce(grounding, 0.5))), 3) as severity, coalesce(s.dst, '') as goals
+risks as (select axis, src.node, ref, n, grounding, round(round(least(1.0, 0.5 * coalesce(percentile, 0.0) + 0.3 * least(n / 3.0, 1.0) + 0.2 * (1 - coalesce(grounding, 0.5))), 9), 3) as severity, coalesce(s.dst, '') as goals
 from src left join blast on blast.node = src.node left join pct using (radius) left join (select src, dst from kg_edges where etype = 'SERVES' and dst like 'kr-%' and not src like '%6') s on s.src = src.node)"""
 
 
