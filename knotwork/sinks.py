@@ -54,20 +54,20 @@ def write_notes(notes: DataFrame, folder: str) -> int:
     """Writes (node_id, text) as files where there is none; the folder is shared by all tasks. Returns how many."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for node, text in zip(pdf["node_id"], pdf["text"]):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 path = os.path.join(folder, f"{node}.md")
                 if not os.path.exists(path):
                     with open(path, "w", encoding="utf-8") as f:
                         f.write(text)
                     done.append(node)
-            yield pd.DataFrame({"node_id": done})
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["node_id"])
 
     os.makedirs(folder, exist_ok=True)
-    return len(notes.select("node_id", "text").mapInPandas(run, "node_id string").collect())
+    return len(notes.select("node_id", "text").mapInArrow(run, "node_id string").collect())
 
 
 def report(counts: dict[str, int], ripeness: list[tuple[str, float]], queue: list[str], threshold: float = 0.6, head: int = 50) -> str:

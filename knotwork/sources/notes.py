@@ -27,15 +27,16 @@ def scan(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFram
     paths = spark.createDataFrame(rows, "scan_ord long, path string, rel_path string")
 
     def read(batches):
-        for pdf in batches:
+        import pyarrow as pa
+
+        for batch in batches:
             texts = []
-            for p in pdf["path"]:
+            for p in batch.column(1).to_pylist():
                 with open(p, encoding="utf-8", errors="replace") as f:
                     texts.append(f.read())
-            pdf["text"] = texts
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return paths.mapInPandas(read, "scan_ord long, path string, rel_path string, text string")
+    return paths.mapInArrow(read, "scan_ord long, path string, rel_path string, text string")
 
 
 def front(text: Column) -> Column:
@@ -48,16 +49,17 @@ def body(text: Column) -> Column:
 
 def parse(notes: DataFrame) -> DataFrame:
     """Adds fields (a map of strings, lists as JSON), body and status (ok, none, error) to (.., text)."""
-    columns = notes.columns
+    columns, place = notes.columns, notes.columns.index("text")
 
     def run(batches):
         import json
 
+        import pyarrow as pa
         import yaml
 
-        for pdf in batches:
+        for batch in batches:
             fields, bodies, status = [], [], []
-            for text in pdf["text"]:
+            for text in batch.column(place).to_pylist():
                 m = re.match(r"\A---\r?\n(.*?)\r?\n---\s*(?:\r?\n|\Z)(.*)", text or "", re.S)
                 value, kind, rest = {}, "none", text or ""
                 if m:
@@ -66,16 +68,14 @@ def parse(notes: DataFrame) -> DataFrame:
                         value, kind, rest = (loaded, "ok", m[2]) if isinstance(loaded, dict) else ({}, "error", text)
                     except yaml.YAMLError:
                         kind = "error"
-                fields.append({str(k): json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v) for k, v in value.items() if v is not None})
+                fields.append([(str(k), json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)) for k, v in value.items() if v is not None])
                 bodies.append(rest)
                 status.append(kind)
-            import pandas as pd
-
-            kept = {c: pdf[c].tolist() for c in columns}
-            yield pd.DataFrame({**kept, "fields": fields, "body": bodies, "status": status})
+            made = [pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(bodies, pa.string()), pa.array(status, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "fields", "body", "status"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in notes.dtypes)
-    return notes.mapInPandas(run, f"{kinds}, fields map<string,string>, body string, status string").select(*columns, "fields", "body", "status")
+    return notes.mapInArrow(run, f"{kinds}, fields map<string,string>, body string, status string").select(*columns, "fields", "body", "status")
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
