@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import store
 from knotwork.llm.components import components
+from knotwork.llm.minhash import SIMILARITY, similar_classes
 
 BITS = 64
 #: Distinct fingerprints that one task compares at once.
 BUCKET = 4096
-#: Independent fingerprints of `similar_classes`.
-PARTS = 6
 #: Shingles hashed at a time of one text.
 STEP = 1 << 15
 
@@ -177,42 +176,10 @@ def near_duplicates(df: DataFrame, radius: int = 3, words: int = 3, seed: int =
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id")
 
 
-def similar_classes(df: DataFrame, words: int = 5, radius: int = 3, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
-    """id, row_hash and class of every row: classes of texts whose word shingles agree by about 0.8 or more.
-
-    One fingerprint of 64 bits can't tell 0.8 at a small radius: such a pair differs in about ten bits.
-    So `parts` fingerprints of independent hashes are taken, and texts link if any of them is within
-    the radius. Texts of no words link with each other. See the README for the measured recall.
-    """
-    store.bounded_batches(df.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            made = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)) for seed in range(parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "row_hash", *names])
-
-    names = [f"fp{k}" for k in range(parts)]
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
-    prints = store.written(rows.mapInArrow(run, f"id {kind}, row_hash long, {', '.join(f'{n} long' for n in names)}"), "part-prints", scope)
-    # A graph of fingerprints: those of one text belong together, and so do near ones of one part.
-    tuples = store.written(prints.select(*names).distinct(), "part-tuples", scope)
-    edges = None
-    for n in names:
-        near = links(tuples.select(F.col(n).alias("fp")).distinct(), radius, scope)
-        own = tuples.select(F.col(names[0]).alias("a"), F.col(n).alias("b")).where("a <> b")
-        edges = near.unionByName(own) if edges is None else edges.unionByName(near).unionByName(own)
-    roots = components(edges, scope).withColumnsRenamed({"node": names[0], "root": "class"})
-    return prints.join(roots, names[0], "left").select(F.col("id").alias(id_col), "row_hash", F.coalesce("class", names[0]).alias("class"))
-
-
-def keep_one(df: DataFrame, words: int = 5, radius: int = 3, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
+def keep_one(df: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
     """One row of each class of similar texts, with all its columns: the least by id (null ids last), then by hash of the text."""
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "row_hash")
-    found = store.written(similar_classes(df, words, radius, parts, id_col, text_col, scope), "part-classes", scope)
+    found = store.written(similar_classes(df, words, similarity, id_col, text_col, scope), "part-classes", scope)
     best = found.groupBy("class").agg(F.min(rank).alias("rank"))
     keys = best.select(F.col("rank.i").alias("__i"), F.col("rank.row_hash").alias("__h")).distinct()
     kept = df.withColumn("__row", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__h")), "left_semi").drop("__row")

@@ -11,7 +11,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
-from knotwork.llm import chat, chunk_bpe, components, decontaminate, embedding_dups, line_dedup, packing, sharding, simhash, token_counts, token_files, weak_labels  # noqa: E402
+from knotwork.llm import chat, chunk_bpe, components, decontaminate, embedding_dups, line_dedup, minhash, packing, sharding, simhash, token_counts, token_files, weak_labels  # noqa: E402
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n_lines string, note string"
@@ -302,3 +302,35 @@ def test_similar_texts_of_five_word_shingles(spark):
     got = {r["doc_id"]: r["class"] for r in simhash.similar_classes(docs(spark, texts)).collect()}
     joined = sum(got[2 * k] == got[2 * k + 1] for k in range(40))
     assert joined >= 36 and len(set(got.values())) == 80 - joined
+
+
+def test_texts_at_the_similarity_are_linked_and_below_it_are_not(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("lmnopqrst"), 5)) for _ in range(500)]
+    texts = []
+    for k in range(60):
+        w = list(rng.choice(vocabulary, 204))
+        # 178 of 222 shingles are shared (0.802), or 177 of 223 (0.794).
+        other = 22 if k < 40 else 23
+        texts += [" ".join(w), " ".join([*w[:-other], *(f"new{j}" for j in range(other))])]
+    got = {r["doc_id"]: r["class"] for r in simhash.similar_classes(docs(spark, texts)).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(60)] == [k < 40 for k in range(60)] and len(set(got.values())) == 80
+
+
+def test_similar_classes_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_SETS", 4)
+    rng = np.random.default_rng(8)
+    w = [f"w{k}" for k in range(64)]
+    texts = [" ".join(w)]
+    for k in range(40):
+        at = int(rng.integers(64))
+        texts.append(" ".join([*w[:at], f"x{k}", *w[at + 1 :]]))
+    texts += [None, "", " \n", "few words", "few WORDS"]
+    got = [r["class"] for r in simhash.similar_classes(docs(spark, texts)).orderBy("doc_id").collect()]
+    sets = [set(minhash.shingle_set(t).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want = [want[b] if x == want[a] else x for x in want]
+    assert [got.index(x) for x in got] == [want.index(x) for x in want] and len(set(want)) == 3
