@@ -1,11 +1,12 @@
-"""Best-fit packing of token runs into sequences, by hierarchical residual packing.
-
-Each task cuts its documents into pieces and packs the pieces best-fit, longest first. Bins that are
-nearly full are emitted. The others become items of their load for the next level, where a task
-takes the bins of several groups of the level below; at the top one group is left and all of its
-bins are emitted. A level's underfull bins are few (best-fit leaves at most one bin under half full)
-and no more than `CARRY` of a group, the emptiest ones, go up; the others are emitted as they are.
-So no task holds more than `CARRY * FAN` bins, whatever the size of the corpus.
+"""Best-fit packing of token runs into sequences, by rounds of residual packing.
+
+Documents are cut into pieces; whole ones are sequences. The others are dealt by hash over as many tasks
+as their number needs, so that every task sees a like mix of lengths whatever the order of the corpus,
+and packed there best-fit, longest first. Bins that are nearly full are emitted. All others become
+items of their load for the next round and are dealt anew, until one task can take them or a round
+doesn't lower their number. Best-fit leaves at most one bin under half full in a task, and of two that
+meet in one sequence one is under half full, so rounds are few. No task holds many more than `MEET`
+bins, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import store
 
-#: Groups whose underfull bins meet at the next level, and how many of each go there at most.
-FAN, CARRY = 8, 20_000
+#: Bins that a task packs, about.
+MEET = 20_000
 #: A bin with no more free room than this share of its capacity is nearly full.
 NEARLY = 1 / 64
-#: Items that a task packs at a time.
-AT_ONCE = 200_000
 
 ITEM = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 BIN = f"bin long, done boolean, grp int, items array<{ITEM}>"
@@ -62,37 +61,37 @@ def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, capacity) for k in range(first, n_tokens, capacity))] if n_tokens else []
 
 
-def _emit(packed: list[list[tuple]], level: int, group: int, first: int, capacity: int, top: bool):
-    """Arrow rows of bins, and which of them are done."""
+def _emit(items, edges: np.ndarray, level: int, group: int, first: int, capacity: int, top: bool):
+    """Arrow rows of bins, given as items end to end with the bins' edges, and which of them are done."""
     import pyarrow as pa
 
-    free = [capacity - sum(x[3] for x in b) for b in packed]
-    open_ = [k for k, f in enumerate(free) if f > capacity * NEARLY and not top]
-    if len(open_) > CARRY:
-        open_ = sorted(open_, key=lambda k: (-free[k], k))[:CARRY]
-    still = set(open_)
-    flat = [x for b in packed for x in b]
-    columns = list(zip(*flat)) if flat else [[]] * 5
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    edges = np.concatenate([[0], np.cumsum([len(b) for b in packed])]).astype(np.int32)
-    ids = [(level << 56) | (group << 32) | (first + k) for k in range(len(packed))]
+    n = len(edges) - 1
+    ends = np.concatenate([[0], np.cumsum(items.field("length").to_numpy())])
+    done = top | (capacity - np.diff(ends[edges]) <= capacity * NEARLY)
+    ids = ((level << 56) | (group << 32) | first) + np.arange(n, dtype=np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([k not in still for k in range(len(packed))], pa.bool_()), pa.array([group] * len(packed), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), items)],
+        [pa.array(ids), pa.array(done), pa.array(np.full(n, group, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), items)],
         ["bin", "done", "grp", "items"],
     )
 
 
 def _merger(level: int, top: bool, capacity: int):
-    """Packs the underfull bins of up to FAN groups as items."""
+    """Packs the bins of a group as items."""
 
     def merge(table):
         import pyarrow as pa
 
-        rows = sorted(table.to_pylist(), key=lambda r: r["bin"])
-        runs = [[tuple(x.values()) for x in r["items"]] for r in rows]
-        bins = [[x for i in b for x in runs[i]] for b in best_fit([sum(x[3] for x in r) for r in runs], capacity)]
-        return pa.Table.from_batches([_emit(bins, level, rows[0]["grp"] // FAN, 0, capacity, top)])
+        table = table.sort_by("bin")
+        runs = table.column("items").combine_chunks()
+        sizes = runs.value_lengths().to_numpy()
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(runs.flatten().field("length").to_numpy())])
+        bins = best_fit(np.diff(ends[edges]).tolist(), capacity)
+        order = np.array([i for b in bins for i in b], dtype=np.int64)
+        firsts = np.cumsum([0, *map(len, bins)])
+        items = runs.take(pa.array(order)).flatten()
+        made = _emit(items, np.concatenate([[0], np.cumsum(sizes[order])])[firsts], level, table.column("grp")[0].as_py(), 0, capacity, top)
+        return pa.Table.from_batches([made])
 
     return merge
 
@@ -108,51 +107,43 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, i
     store.bounded_batches(spark)
 
     def first(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         from knotwork.llm.chunk_bpe import encoder
 
         encode, group = encoder(tokenizer).encode, TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4").tobytes()
-        items, whole, made = [], [], 0
-
-        def packed(part, top=False):
-            nonlocal made
-            bins = [[part[i] for i in b] for b in best_fit([x[3] for x in part], capacity)]
-            made += len(bins)
-            return _emit(bins, 0, group, made - len(bins), capacity, top)
+        made = 0
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(0, len(ids), 1000):
+                pieces = []
                 for doc, run in zip(ids[k : k + 1000], encode(texts[k : k + 1000])):
                     run += tail
                     for piece, (start, length) in enumerate(cut(len(run) // 4, capacity)):
                         crc = zlib.crc32(memoryview(run)[4 * start : 4 * (start + length)])
-                        (whole if length == capacity else items).append((doc, piece, start, length, crc))
-            if len(whole) > 10_000:
-                made += len(whole)
-                yield _emit([[x] for x in whole], 0, group, made - len(whole), capacity, True)
-                whole = []
-            if len(items) > AT_ONCE:
-                yield packed(items)
-                items = []
-        if whole:
-            made += len(whole)
-            yield _emit([[x] for x in whole], 0, group, made - len(whole), capacity, True)
-        if items:
-            yield packed(items)
+                        pieces.append((doc, piece, start, length, crc))
+                items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*pieces), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield _emit(items, np.arange(len(pieces) + 1), 0, group, made, capacity, False)
+                made += len(pieces)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level = store.written(rows.mapInArrow(first, BIN), "packed-0", scope)
-    parts = [level.where("done")]
-    groups, k = rows.rdd.getNumPartitions(), 0
-    while groups > 1 or k == 0:
-        k, groups = k + 1, -(-groups // FAN)
-
-        up = level.where("not done").groupBy(F.floor(F.col("grp") / FAN).alias("g"))
-        level = store.written(up.applyInArrow(_merger(k, groups == 1, capacity), BIN), f"packed-{k}", scope)
+    parts, k = [level.where("done")], 0
+    left = level.where("not done").count()
+    while left:
+        k, tasks = k + 1, -(-left // MEET)
+        dealt = level.where("not done").withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(tasks)).cast("int"))
+        level = store.written(dealt.groupBy("grp").applyInArrow(_merger(k, tasks == 1, capacity), BIN), f"packed-{k}", scope)
+        counts = level.agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).first()
+        if counts["n"] == left:
+            parts.append(level)
+            break
         parts.append(level.where("done"))
+        left = counts["open"]
 
     def places(batches):
         import pyarrow as pa

@@ -107,6 +107,18 @@ def test_pack(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 
 
+def test_pack_fills_the_room_of_other_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CARRY", 20, raising=False)
+    monkeypatch.setattr(packing, "MEET", 100, raising=False)
+    # A source of long texts in one partition and one of short texts in another: one of each fills a sequence.
+    texts = ["one " * 39] * 200 + ["one " * 23] * 200
+    assert {len(ids_of(t)) for t in texts[199:201]} == {40, 24}
+    rows = docs(spark, texts[:200]).coalesce(1).unionAll(docs(spark, texts[200:], 200).coalesce(1))
+    got = packing.pack(rows, BPE, 66, 2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(400))
+    assert len({r["sequence_id"] for r in got}) < 250
+
+
 def test_shards(spark):
     texts = [f"{'x' * (i * 37 % 211)}{i % 90}" for i in range(400)] + ["hot"] * 300 + [None, None, ""]
     got = sharding.shard(docs(spark, texts), 4).collect()
