@@ -573,14 +573,24 @@ def _(c):
     return _notes(c).select(F.col("scan_ord").alias("c_custkey"), F.array_join(N.tickets(F.col("text")), ",").alias("tickets"))
 
 
-@query("episode_parse", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders where o_orderkey < 2000")
-def _(c):
+def _episodes(orders: DataFrame) -> DataFrame:
+    """Episodes written out of orders and parsed."""
     text = F.format_string("---\ndate: %s\nparticipants: Ann Bee, Cy Dee %s,\nlinks: [cust-%s]\n---\n[[feat-1]] JJ-%s [[cust-%s]]\n", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderkey", "o_custkey", "o_orderkey", "o_custkey")
-    rows = c.orders.where("o_orderkey < 2000").select(F.concat(F.lit("s/s-"), "o_orderkey", F.lit(".md")).alias("rel_path"), text.alias("text"))
+    rows = orders.select(F.concat(F.lit("s/s-"), "o_orderkey", F.lit(".md")).alias("rel_path"), text.alias("text"))
     out = N.episodes(N.parse(rows), {"date": "date", "participants": "participants", "links": "links"})
     return out.select("episode_id", "date", *[F.array_join(k, ",").alias(k) for k in ("participants", "nexus_refs", "jira_refs")])
 
 
+@query("episode_parse", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders where o_orderkey < 2000")
+def _(c):
+    return _episodes(c.orders.where("o_orderkey < 2000"))
+
+
+@query("episode_parse_all", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders")
+def _(c):
+    return _episodes(c.orders)
+
+
 @query("tumbling_claims", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(c):
     return E.tumbling(c.events).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -49,3 +49,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["seed", "episode", "score"]
     assert set(plans.SQL) <= set(entry.queries())
+
+
+def test_episode_parse_all_takes_every_order(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(k, 7, dt.datetime(1999, 1, 2)) for k in (1, 1999, 2000, 150000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    df = plans.QUERIES["episode_parse_all"](spark, str(tmp_path))
+    rel = duckdb.sql(plans.SQL["episode_parse_all"].replace("from orders", f"from '{tmp_path}/orders.parquet/*.parquet'"))
+    got = canonical([tuple(r) for r in df.collect()], df.columns)
+    assert len(got) == 4 and got == canonical(rel.fetchall(), rel.columns)
