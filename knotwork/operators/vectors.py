@@ -10,7 +10,7 @@ from knotwork.functions import scalars as S
 from knotwork.operators import graph
 
 DIMENSION = 256
-#: Query vectors of one call.
+#: Query vectors that go to every task at a time.
 MOST_QUERIES = 1000
 
 
@@ -36,12 +36,20 @@ def distance(a, b) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """(query, id, distance, similarity) of the k nearest vectors of each query, exactly.
 
-    queries (query, q) are a stated set of at most MOST_QUERIES, which is checked, and go to every
-    task; each task keeps its own k best (a partial top-k) before the merge, so what is shuffled is k
-    rows a task and query.
+    queries (query, q) may be any number: they are dealt into blocks of about MOST_QUERIES, and a block
+    goes to every task; each task keeps its own k best (a partial top-k) before the merge, so what is
+    shuffled is k rows a task and query.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask in several calls")
+    blocks = -(-queries.count() // MOST_QUERIES) or 1
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    parts = [_nearest(vectors, queries.where(block == b) if blocks > 1 else queries, k, id_col) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).alias("id"), "embedding").join(F.broadcast(queries), F.lit(True))
     scored = rows.select("query", "id", F.round(distance("embedding", "q"), 9).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "id")

@@ -431,19 +431,24 @@ def _(c):
 _KNN = "q as (select embedding as q from embeddings where vec_id = 0), knn as (select vec_id as id, round(list_sum(list_transform(list_zip(embedding, q.q), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))), 9) as distance from embeddings, q order by 2, 1 limit 8)"
 
 
-def _knn(c: Catalog) -> DataFrame:
-    queries = c.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+def _knn(c: Catalog, which: str) -> DataFrame:
+    queries = c.embeddings.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return V.nearest(c.embeddings, queries, 8)
 
 
 @query("knn_seeds", f"with {_KNN} select cast(0 as bigint) as query, id, distance, round(greatest(0.0, 1 - distance / 2), 6) as similarity from knn")
 def _(c):
-    return _knn(c)
+    return _knn(c, "vec_id = 0")
+
+
+@query("knn_every_50th")
+def _(c):
+    return _knn(c, "vec_id % 50 = 0")
 
 
 @query("text_to_replica")
 def _(c):
-    similar = _knn(c).select(F.lit("text").alias("seed"), F.concat(F.lit("cust-"), "id").alias("node"), "similarity")
+    similar = _knn(c, "vec_id % 50 = 0").select(F.concat(F.lit("text-"), "query").alias("seed"), F.concat(F.lit("cust-"), "id").alias("node"), "similarity")
     return V.episodes_for(c.kg_edges.where(_WHICH), V.weighted(similar), 5, 10)
 
 

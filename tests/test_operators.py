@@ -154,3 +154,12 @@ def test_streaming_windows(spark, tmp_path):
     q = E.tumbling(stream).writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["n"], r["total"]) for r in spark.sql("select * from w").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_QUERIES", 2)
+    df = spark.createDataFrame([(i, [float(i * i), 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in V.nearest(df, df.where("vec_id < 7").selectExpr("vec_id as query", "embedding as q"), 3).collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    assert {q: sorted(ids) for q, ids in got.items()} == {q: sorted(sorted(range(12), key=lambda i: ((i * i - q * q) ** 2, i))[:3]) for q in range(7)}

@@ -60,3 +60,9 @@ def test_episode_parse_all_takes_every_order(spark, tmp_path):
     rel = duckdb.sql(plans.SQL["episode_parse_all"].replace("from orders", f"from '{tmp_path}/orders.parquet/*.parquet'"))
     got = canonical([tuple(r) for r in df.collect()], df.columns)
     assert len(got) == 4 and got == canonical(rel.fetchall(), rel.columns)
+
+
+def test_every_50th_vector_is_searched(spark):
+    got = plans.QUERIES["knn_every_50th"](spark, SF)
+    want = [r[0] for r in duckdb.sql(f"select vec_id from '{SF}/embeddings.parquet' where vec_id % 50 = 0 order by 1").fetchall()]
+    assert len(want) > 1 and sorted(r["query"] for r in got.collect()) == sorted(want * 8)
