@@ -347,6 +347,12 @@ def _(c):
     return G.reachability(c.kg_nodes.where("node_type <> 'episode'"), c.kg_edges.where("etype = 'SERVES' and not src like '%4'"))
 
 
+@query("reachability_whole")
+def _(c):
+    nodes = c.kg_nodes
+    return G.reachability(nodes, c.kg_edges).join(nodes.where("node_type <> 'episode'").select("node_id"), "node_id", "left_semi")
+
+
 @query("bfs_hops", """with recursive e as (select src, dst from kg_edges where etype = 'SERVES' union select dst, src from kg_edges where etype = 'SERVES'),
 walk(node, depth) as (select 'kr-3', 0 union select e.dst, depth + 1 from walk join e on e.src = node where depth < 4) select 'kr-3' as seed, node, min(depth) as depth from walk group by node""".replace("with recursive e", "with e"), "kg_edges", recursive=True)
 def _(c):
@@ -389,7 +395,7 @@ def _(c):
 
 @query("communities_lpa")
 def _(c):
-    return G.label_propagation(c.kg_edges.where("etype = 'SERVES'"))
+    return G.label_propagation(c.kg_edges)
 
 
 _MEMBERS = "m as (select concat('cust-', c_custkey) as node, case when c_custkey % 17 > 0 then concat('kr-', c_nationkey) end as community from customer), blast as (select node, community, coalesce(count(*) over (partition by community) - 1, 0) * (case when community is null then 0 else 1 end) as radius from m)"

@@ -66,3 +66,27 @@ def test_every_50th_vector_is_searched(spark):
     got = plans.QUERIES["knn_every_50th"](spark, SF)
     want = [r[0] for r in duckdb.sql(f"select vec_id from '{SF}/embeddings.parquet' where vec_id % 50 = 0 order by 1").fetchall()]
     assert len(want) > 1 and sorted(r["query"] for r in got.collect()) == sorted(want * 8)
+
+
+def test_whole_graph_queries(spark):
+    from knotwork import vocab
+    from knotwork.sources.tables import Catalog
+
+    c = Catalog(spark, SF)
+    edges = [tuple(r) for r in c.kg_edges.select("src", "dst", "etype").distinct().collect()]
+    types = {r[0]: r[1] for r in c.kg_nodes.select("node_id", "node_type").collect()}
+    near = {}
+    for a, b, etype in edges:
+        if etype in vocab.REACHING and a in types and b in types:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    stack = [n for n, t in types.items() if t == "key-result"]
+    seen = set(stack)
+    while stack:
+        new = near.get(stack.pop(), set()) - seen
+        seen |= new
+        stack += new
+    got = {r["node_id"]: r["reached"] for r in plans.QUERIES["reachability_whole"](spark, SF).collect()}
+    assert got == {n: n in seen for n, t in types.items() if t != "episode"}
+    communities = {r["node"] for r in plans.QUERIES["communities_lpa"](spark, SF).collect()}
+    assert communities == {x for a, b, _ in edges if a != b for x in (a, b)} and any(n.startswith("feat-") for n in communities)
