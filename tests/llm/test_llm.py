@@ -272,8 +272,17 @@ def test_expectation_maximisation_finds_rates():
     rate = np.where(bad[:, None], [0.8, 0.7, 0.6, 0.5], [0.02, 0.03, 0.01, 0.05])
     fired = rng.random((20000, 4)) < rate
     counts = Counter((fired @ [1, 2, 4, 8]).tolist())
-    share, good, hit = weak_labels.expectation_maximisation(counts, 4)
-    assert abs(share - 0.2) < 0.02 and np.abs(hit - [0.8, 0.7, 0.6, 0.5]).max() < 0.04 and good.max() < 0.08
+    shares, (good, hit) = weak_labels.expectation_maximisation(counts, 4)
+    assert abs(shares[1] - 0.2) < 0.02 and np.abs(hit - [0.8, 0.7, 0.6, 0.5]).max() < 0.04 and good.max() < 0.08
+
+
+def test_expectation_maximisation_of_two_kinds_of_bad_documents():
+    rng = np.random.default_rng(0)
+    kind = rng.choice(3, 30000, p=[0.75, 0.15, 0.1])
+    rate = np.array([[0.01] * 5, [0.8, 0.7, 0.6, 0.01, 0.01], [0.01, 0.01, 0.01, 0.9, 0.9]])
+    counts = Counter(((rng.random((30000, 5)) < rate[kind]) @ [1, 2, 4, 8, 16]).tolist())
+    shares, rates = weak_labels.expectation_maximisation(counts, 5, kinds=(range(3), (3, 4)))
+    assert np.abs(shares - [0.75, 0.15, 0.1]).max() < 0.02 and np.abs(rates - rate).max() < 0.05
 
 
 def test_classifier_on_held_out_rows(spark):
