@@ -43,7 +43,7 @@ BEGINNINGS = (4, 5)
 COUNTED = 300_000
 WORD = re.compile(r"\w+")
 SYMBOLS = "#$%&*+=~^@\\"
-LABELLERS = ("symbols", "bars", "letters", "capitals", "exclamation", "top_word", "repeats", "mined_even", "mined_odd")
+LABELLERS = ("symbols", "bars", "letters", "capitals", "exclamation", "top_word", "repeats", "mined_one", "mined_other")
 #: Labellers that tell bad documents by their form, and by their words.
 KINDS = (range(7), range(7, 9))
 
@@ -109,11 +109,13 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
     start = np.full((1 + len(kinds), labellers), 0.01)
     for k, own in enumerate(kinds, 1):
         start[k, list(own)] = 0.3
+    # A little prior mass keeps rates away from 0 and 1; more of it says that labellers seldom fire on good documents.
+    prior = np.ones((1 + len(kinds), 1))
+    prior[0] += weight.sum() / 2
     rates, shares = start, np.array([1 - 0.1, *[0.1 / len(kinds)] * len(kinds)])
     for _ in range(rounds):
         w = weight[:, None] * _posterior(fired, shares, rates)
-        # A little prior mass keeps rates away from 0 and 1.
-        new = (w.T @ fired + start) / (w.sum(axis=0)[:, None] + 1)
+        new = (w.T @ fired + prior * start) / (w.sum(axis=0)[:, None] + prior)
         shares_new = (w.sum(axis=0) + 0.1) / (weight.sum() + 0.1 * len(shares))
         done = max(abs(new - rates).max(), abs(shares_new - shares).max()) < 1e-9
         rates, shares = new, shares_new
@@ -137,21 +139,21 @@ def posteriors(counts: dict[int, int]) -> dict[int, float]:
     return dict(zip(patterns.tolist(), (1 - _posterior(fired, shares, rates)[:, 0]).tolist()))
 
 
-def fit(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 200, decay: float = 4.0, pace: float = 0.06) -> np.ndarray:
-    """Weights of the hashed features, the intercept last, by Adam on the logistic loss.
+def fit(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 200, decay: float = 2.0, pace: float = 0.06) -> np.ndarray:
+    """Weights of the hashed features, the votes and the intercept, in this order, by Adam on the logistic loss.
 
     Weights decay by the round, but for those of votes, so that words count only for what votes do not explain.
     """
-    weights = np.zeros(BUCKETS + 1)
+    weights = np.zeros(BUCKETS + len(LABELLERS) + 1)
     if not len(rows):
         return weights
     flat = np.concatenate(rows).astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=BUCKETS) >= min(SEEN, max(2, len(rows) // 20))
+    seen = np.bincount(flat, minlength=len(weights) - 1) >= min(SEEN, max(2, len(rows) // 20))
     used, place = np.flatnonzero(seen), np.cumsum(seen) - 1
     keep = seen[flat]
     flat, doc = place[flat[keep]], doc[keep]
-    shrink = np.where(np.isin(used, [feature(f"vote:{k}") for k in range(len(LABELLERS))]), 1.0, 1 - pace * decay)
+    shrink = np.where(used >= BUCKETS, 1.0, 1 - pace * decay)
     w, b = np.zeros(len(used)), float(np.log((soft.mean() + 1e-6) / (1 - soft.mean() + 1e-6)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
@@ -231,8 +233,10 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[frozenset, frozenset]:
     marks = [(F.col(c) >= least[c]) & (F.col(c) >= MINED_SHARE * F.col("n")) for c in ("toxic", "low")]
     found = [r["word"] for r in counted(rows, some).where((F.col("word") != "") & (marks[0] | marks[1])).select("word").toLocalIterator()] if some else []
     store.clear(docs.sparkSession, "mined")
-    side = lambda w: crc32(w.lstrip("^")[: min(BEGINNINGS)].encode()) % 2
-    return tuple(frozenset(w for w in found if side(w) == k) for k in (0, 1))
+    # What begins alike goes to one side, so that no word fires both labellers.
+    begun = lambda w: w.lstrip("^")[: min(BEGINNINGS)]
+    side = {b: k % 2 for k, b in enumerate(sorted(set(map(begun, found))))}
+    return tuple(frozenset(w for w in found if side[begun(w)] == k) for k in (0, 1))
 
 
 def _cast(mined: tuple[frozenset, frozenset], place: int):
@@ -266,7 +270,8 @@ def _ids(column) -> tuple[np.ndarray, np.ndarray]:
     return run - np.repeat(before, np.diff(edges)), edges
 
 
-OWN = [np.array([feature(f"vote:{k}") for k in range(len(LABELLERS)) if v >> k & 1], dtype=np.int64) for v in range(1 << len(LABELLERS))]
+#: The features of each vote pattern: they come after the hashed ones.
+OWN = [np.array([BUCKETS + k for k in range(len(LABELLERS)) if v >> k & 1], dtype=np.int64) for v in range(1 << len(LABELLERS))]
 
 
 class Model:
@@ -304,7 +309,7 @@ class Model:
         # One task fits: its input is bounded, and in a fixed order.
         one = some.repartition(1).sortWithinPartitions("__row").select("__votes", "__features").mapInArrow(fitted, "weights binary")
         got = one.first()
-        self.weights = np.frombuffer(got["weights"], dtype="<f4") if got else np.zeros(BUCKETS + 1, dtype="<f4")
+        self.weights = np.frombuffer(got["weights"], dtype="<f4") if got else np.zeros(BUCKETS + len(LABELLERS) + 1, dtype="<f4")
 
     def scores(self, fired, features) -> np.ndarray:
         """Scores of rows given by their columns of votes and features."""
