@@ -107,6 +107,7 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
     fired = (patterns[:, None] >> np.arange(labellers)) & 1
     kinds = kinds or (range(labellers),)
     start = np.full((1 + len(kinds), labellers), 0.01)
+    start[0] = 0.002
     for k, own in enumerate(kinds, 1):
         start[k, list(own)] = 0.3
     # A little prior mass keeps rates away from 0 and 1; more of it says that labellers seldom fire on good documents.
