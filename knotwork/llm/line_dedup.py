@@ -1,13 +1,15 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join in DataFrame operations.
 
 A line goes if an earlier line of the corpus is equal to it or one edit (a code point inserted,
-deleted or replaced) away. Earlier is by document id, then place in the text. Lines of fewer than
-`SHORT` code points have to be equal. Lines of white space alone always stay.
+deleted or replaced) away, the edit being no more than a share 1 - `SIMILARITY` of the longer line:
+so it takes five code points, as one edit leaves four less alike than that. Earlier is by document id, then place of the row, then place in the text. Lines of white space
+alone always stay.
 
-Equal lines meet first, by hash, so that only distinct lines are compared. Two lines of lengths L and
-L or L + 1 that are one edit apart agree in one half: before the middle of L or after it. So a line
-takes part only where another distinct line shares that half (a loss-free filter), and its variants
-need cover the other half only:
+Texts are written once, in buckets of a row number, and all but those buckets moves hashes: equal
+lines meet by hash, so that only distinct lines are compared. Two lines of lengths L and L or L + 1
+that are one edit apart agree in one half: before the middle of L or after it. So a line takes part
+only where another distinct line shares that half (a loss-free filter), and its variants need cover
+the other half only:
 
 - a replaced code point: the half without it, keyed by its place. All lines that share this key are
   one edit apart from each other.
@@ -15,7 +17,9 @@ need cover the other half only:
 
 So each key needs no more than the earliest line of each kind: no pairs are listed. What shares a key
 is confirmed by the edit distance of the two texts. The distinct lines that share a key are at most
-as many as there are code points (times places), whatever the size of the corpus.
+as many as there are code points (times places), whatever the size of the corpus. Halves are counted
+by a partial aggregation and then joined, which Spark can split, so a half that a third of all lines
+share is no task's burden.
 """
 
 from __future__ import annotations
@@ -25,65 +29,56 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import store
 
-SHORT = 16
+SIMILARITY = 0.8
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The lines of all texts with their places; lines of white space get hashes of their own."""
-    rows = df.where(F.col(text_col).isNotNull()).select(*_row_key(id_col, text_col), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    blank = ~F.col("line").rlike(r"\S")
-    place = [F.col(c).cast("string") for c in ("ord", "row_hash", "line_no")]
-    own = F.concat_ws(" ", F.lit("\n"), *place)
-    what = F.when(blank, own).otherwise(F.col("line"))
-    return rows.select("*", F.xxhash64(what).alias("h1"), F.xxhash64(F.lit(1), what).alias("h2"), blank.alias("blank"))
+def _one_edit(longer: Column) -> Column:
+    """Whether one edit is small enough for a line of so many code points."""
+    return 1 - 1 / longer >= SIMILARITY - 1e-9
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    """Null ids come last."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(text_col).alias("row_hash")]
-
-
-def _distinct(lines: DataFrame, scope: str) -> DataFrame:
-    """Distinct lines with their first places, written in buckets of their hashes.
-
-    Whatever is joined with it on the hashes later moves alone; the texts stay where they are.
-    """
-    spark = lines.sparkSession
-    first = F.min(F.struct("ord", "row_hash", "line_no")).alias("at")
-    made = lines.groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("blank").alias("blank"))
-    path = store.fresh(spark, "distinct-lines", scope)
-    name = "knotwork_" + path.rpartition("-")[2]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
-    return spark.table(name)
-
-
-def _halves(lines: DataFrame) -> DataFrame:
-    """For each line, class L (its length or one less) and side: the hash of the half that may agree, and the other half."""
-    n = F.length("line")
+def _halves(line: Column) -> Column:
+    """Four structs of a line, for each class L (its length or one less) and side: half (a hash of what may agree), rest (the other half) and longer."""
+    n = F.length(line)
     out = []
     for longer in (0, 1):
         size = n - longer  # the class
         half = F.floor(size / 2).cast("int")
         keep = size - half
-        before = (F.lit(0), F.substring("line", F.lit(1), half), F.substring("line", half + 1, n))
-        after = (F.lit(1), F.substring("line", n - keep + 1, keep), F.substring("line", F.lit(1), n - keep))
+        before = (F.lit(0), F.substring(line, F.lit(1), half), F.substring(line, half + 1, n))
+        after = (F.lit(1), F.substring(line, n - keep + 1, keep), F.substring(line, F.lit(1), n - keep))
         for side, same, rest in (before, after):
             out.append(F.struct(F.xxhash64(size, side, same).alias("half"), rest.alias("rest"), F.lit(bool(longer)).alias("longer")))
-    known = [c for c in ("halves",) if c in lines.columns]
-    rows = lines.where(~F.col("blank") & (n >= SHORT)).select("h1", "h2", "at", *known, F.explode(F.array(*out)).alias("x"))
-    return rows.select("h1", "h2", "at", *known, "x.*")
-
-
-def _near(distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines with the earliest line, of another text, found one edit away: (e1, e2)."""
-    halves = _halves(distinct)
-    # Dealt by half once, for the count and for the members.
-    slim = halves.select("h1", "h2", "half").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "half")
-    shared = slim.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    chosen = slim.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.collect_set("half").alias("halves"))
-    # The texts are cut again for the lines that share a half, four halves each at most.
-    some = _halves(distinct.join(chosen, ["h1", "h2"])).where(F.array_contains("halves", F.col("half"))).drop("halves")
+    return F.array(*out)
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Distinct lines with content: hashes, first place and the hashes of their halves."""
+    lines = texts.where("text is not null").select("ord", "no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.where(F.col("line").rlike(r"\S")).select("ord", "no", "line_no", F.explode(F.array(F.struct("line", _halves(F.col("line")).alias("x")))).alias("y"))
+    line = F.col("y.line")
+    halves = F.when(_one_edit(F.length(line) + 1), F.col("y.x.half")).alias("halves")
+    hashed = lines.select(F.struct("ord", "no", "line_no").alias("at"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), halves)
+    return hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
+
+
+def _candidates(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2, at, line, halves) of lines that share a half with another: the halves that they share."""
+    entries = distinct.where("halves is not null").select("h1", F.posexplode("halves").alias("k", "half"))
+    # A shared half needs a line that is not the longer one in it: two longer ones meet in their own class.
+    shared = entries.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("k").alias("k")).where("lo <> hi and k < 2").select("half")
+    chosen = entries.join(shared, "half", "left_semi").groupBy("h1").agg(F.collect_set("half").alias("chosen"))
+    found = distinct.select("h1", "h2", "at").join(chosen, "h1")
+    # The texts of these lines, by document.
+    by_row = found.groupBy(F.col("at.no").alias("no")).agg(F.collect_list(F.struct("h1", "h2", "at", "chosen")).alias("own"))
+    lines = texts.select("no", "text").join(by_row, "no").select(F.explode(F.arrays_zip(F.transform("own", lambda x: x), F.expr("transform(own, x -> get(split(text, '\n'), x.at.line_no))").alias("line"))).alias("z"))
+    return lines.select("z.0.h1", "z.0.h2", "z.0.at", "z.line", "z.0.chosen")
+
+
+def _near(candidates: DataFrame) -> DataFrame:
+    """(h1, h2) of lines with the earliest line, of another text, found one edit away: (e1, e2)."""
+    some = candidates.select("h1", "h2", "at", "chosen", F.explode(_halves(F.col("line"))).alias("x")).where(F.array_contains("chosen", F.col("x.half")))
+    some = some.select("h1", "h2", "at", "x.*")
     n = F.length("rest")
     # Places of the edit: each code point for a replacement or a deletion; -1 for the line as it is.
     some = some.withColumn("place", F.explode(F.when(F.col("longer"), F.sequence(F.lit(0), n - 1)).otherwise(F.sequence(F.lit(-1), n - 1))))
@@ -107,30 +102,33 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """All rows with their text without duplicate lines, and n_lines, n_kept (lines with content).
 
     Null texts stay null, empty and blank ones stay as they are (n_lines 0). A row that loses all its
-    lines has n_kept 0 and an empty text. Rows that repeat both id and text are one row: a repeated
-    row has no line of its own. Null ids come last in order. n_lines and n_kept replace columns of
-    those names; the names at, blank, h1, h2, ord, row_hash and line_no are free for the caller's use.
+    content has n_kept 0. Rows that repeat an id, or id and text, are rows of their own in the order of
+    the table: a repeated text loses all its lines with content. Null ids come last in order. Very long
+    texts and lines are read whole. n_lines and n_kept replace columns of those names; all other names
+    are free. An empty table gives no rows.
     """
-    distinct = _distinct(_lines(df, id_col, text_col), scope)
-    near = _near(distinct)
-    own = distinct.select("h1", "h2", F.col("line").alias("own"))
-    other = distinct.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"))
+    names = [c for c in df.columns if c not in ("n_lines", "n_kept")]
+    columns = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names) if c != text_col], F.lit(True).alias("row")).alias("columns")
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord")
+    texts = store.bucketed(df.select(order, F.monotonically_increasing_id().alias("no"), F.col(text_col).alias("text"), columns), "no", "line-texts", scope)
+    distinct = store.written(_distinct(texts), "distinct-lines", scope)
+    candidates = store.written(_candidates(distinct, texts), "line-candidates", scope, compression="zstd")
+    near = _near(candidates)
+    own = candidates.select("h1", "h2", F.col("line").alias("own"))
+    other = candidates.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"))
     # Only lines in which a partner was found are brought together with their texts.
-    confirmed = near.join(own, ["h1", "h2"]).join(other, ["e1", "e2"]).where(F.levenshtein("own", "other", 1) >= 0).select("h1", "h2")
-    kept = distinct.join(confirmed, ["h1", "h2"], "left_anti")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at.line_no", "line"))), lambda x: x["line"]), "\n")
-    texts = kept.groupBy(F.col("at.ord").alias("__ord"), F.col("at.row_hash").alias("__hash")).agg(text.alias("__text"), F.count_if(~F.col("blank")).alias("__kept"))
-    ord_, hash_ = _row_key(id_col, text_col)
-    n_lines = F.size(F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"\S")))
-    slim = df.drop("n_lines", "n_kept").select(
-        *[F.col(c) for c in df.columns if c not in (text_col, "n_lines", "n_kept")],
-        ord_.alias("__ord"),
-        hash_.alias("__hash"),
-        F.col(text_col).isNull().alias("__null"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+    longer = F.greatest(F.length("own"), F.length("other"))
+    close = (F.levenshtein("own", "other", 1) >= 0) & _one_edit(longer)
+    confirmed = near.join(own, ["h1", "h2"]).join(other, ["e1", "e2"]).where(close).select("h1", "h2")
+    kept = distinct.select("h1", "h2", "at").join(confirmed, ["h1", "h2"], "left_anti")
+    kept = kept.groupBy(F.col("at.no").alias("no")).agg(F.collect_set("at.line_no").alias("kept"))
+    cut = texts.join(kept, "no", "left").withColumn("lines", F.explode_outer(F.array(F.split("text", "\n"))))
+    content = lambda x: x.rlike(r"\S")
+    stays = F.filter("lines", lambda x, k: ~content(x) | F.coalesce(F.array_contains("kept", k), F.lit(False)))
+    text = F.when(F.col("text").isNotNull(), F.array_join(stays, "\n")).alias(text_col)
+    place = {c: f"columns.c{k}" for k, c in enumerate(names)}
+    return cut.select(
+        *[text if c == text_col else F.col(place[c]).alias(c) for c in names],
+        F.coalesce(F.size(F.filter("lines", content)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"),
     )
-    filled = slim.where("not __null").dropDuplicates(["__ord", "__hash"])
-    whole = filled.join(texts, ["__ord", "__hash"], "left").withColumn("__text", F.coalesce("__text", F.lit("")))
-    bare = slim.where("__null").withColumn("__text", F.lit(None).cast("string")).withColumn("__kept", F.lit(0).cast("long"))
-    both = whole.unionByName(bare)
-    return both.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("n_lines", "n_kept")], "n_lines", F.coalesce("__kept", F.lit(0)).cast("long").alias("n_kept"))

@@ -74,14 +74,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_weak_labels, op5_packing, op6_simhash, op7_embedding_dups, op8_line_dedup, op9_chat_format, op10_decontaminate)}
 
 
-#: Lines by place; distinct lines by their first place; pairs that share a half and are one edit apart.
+#: Lines by place; distinct lines by their first place; pairs that share a half and are one edit apart, of a longer line of five or more.
 LINES_SQL = r"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents where text is not null),
 firsts as (select * from (select *, row_number() over (partition by line order by doc_id, no) as k from lines where regexp_matches(line, '\S')) where k = 1),
 halves as (select line, doc_id, no, length(line) as n, cls, side, case side when 0 then left(line, cls // 2) else right(line, cls - cls // 2) end as half
-  from (select *, unnest([length(line), length(line) - 1]) as cls from firsts where length(line) >= 16), (values (0), (1)) s(side)),
+  from (select *, unnest([length(line), length(line) - 1]) as cls from firsts where length(line) >= 4), (values (0), (1)) s(side)),
 near as (select distinct a.line from halves a join halves b on a.cls = b.cls and a.side = b.side and a.half = b.half and (b.doc_id, b.no) < (a.doc_id, a.no)
-  where len(list_filter(range(greatest(a.n, b.n)), lambda p: left(a.line, p) = left(b.line, p)
+  where greatest(a.n, b.n) >= 5 and len(list_filter(range(greatest(a.n, b.n)), lambda p: left(a.line, p) = left(b.line, p)
     and substr(a.line, (case when a.n < b.n then p + 1 else p + 2 end)::int) = substr(b.line, (case when b.n < a.n then p + 1 else p + 2 end)::int))) > 0),
 kept as (select l.*, regexp_matches(l.line, '\S') as full_line from lines l left join firsts f on f.doc_id = l.doc_id and f.no = l.no left join near x on x.line = l.line
   where not regexp_matches(l.line, '\S') or (f.line is not null and x.line is null)),

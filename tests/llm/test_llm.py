@@ -210,14 +210,38 @@ def test_line_dedup(spark):
     texts = [f"{long}\nshort\n\nown {long} a", f"{long}\n{long}s\nfresh text that is new here", "short\nshor", f"{long[:5]}X{long[6:]}", None, "", " \n", f"{long}\n\n", long[1:] + " and more", "shor"]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in line_dedup.deduplicate(docs(spark, texts)).collect()}
     assert got == {
-        0: (texts[0], 3, 3), 1: ("fresh text that is new here", 3, 1), 2: ("shor", 2, 1), 3: ("", 1, 0), 4: (None, 0, 0),
+        0: (texts[0], 3, 3), 1: ("fresh text that is new here", 3, 1), 2: ("", 2, 0), 3: ("", 1, 0), 4: (None, 0, 0),
         5: ("", 0, 0), 6: (" \n", 0, 0), 7: ("\n", 1, 0), 8: (texts[8], 1, 1), 9: ("", 1, 0),
     }
     twice = docs(spark, ["a\nb"]).unionAll(docs(spark, ["a\nb"]))
-    assert [r["text"] for r in line_dedup.deduplicate(twice).collect()] == ["a\nb"]
+    assert sorted((r["text"], r["n_kept"]) for r in line_dedup.deduplicate(twice).collect()) == [("", 0), ("a\nb", 2)]
     assert line_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_short_lines_against_every_pair(spark):
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("ab "), rng.integers(1, 9))) for _ in range(400)]
+    texts = ["\n".join(lines[k : k + 8]) for k in range(0, 400, 8)]
+
+    def one_edit(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(b) - len(a) > 1 or len(b) < 5:
+            return a == b
+        return a == b or any((a[:k] + a[k + (len(a) == len(b)) :]) == (b[:k] + b[k + 1 :]) for k in range(len(b)))
+
+    seen, want = [], []
+    for t in texts:
+        kept = []
+        for x in t.split("\n"):
+            if not x.strip() or not any(one_edit(x, y) for y in seen):
+                kept.append(x)
+            if x.strip():
+                seen.append(x)
+        want.append("\n".join(kept))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_decontaminate(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
