@@ -77,11 +77,13 @@ def _candidates(distinct: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _near(candidates: DataFrame) -> DataFrame:
     """(h1, h2) of lines with the earliest line, of another text, found one edit away: (e1, e2)."""
-    some = candidates.select("h1", "h2", "at", "chosen", F.explode(_halves(F.col("line"))).alias("x")).where(F.array_contains("chosen", F.col("x.half")))
-    some = some.select("h1", "h2", "at", "x.*")
+    edits = _one_edit(F.length("line")).alias("edits")
+    some = candidates.select("h1", "h2", "at", "chosen", edits, F.explode(_halves(F.col("line"))).alias("x")).where(F.array_contains("chosen", F.col("x.half")))
+    some = some.select("h1", "h2", "at", "edits", "x.*").where("edits or not longer")
     n = F.length("rest")
-    # Places of the edit: each code point for a replacement or a deletion; -1 for the line as it is.
-    some = some.withColumn("place", F.explode(F.when(F.col("longer"), F.sequence(F.lit(0), n - 1)).otherwise(F.sequence(F.lit(-1), n - 1))))
+    # Places of the edit: each code point for a replacement or a deletion; -1 for the line as it is, which may be a longer one's.
+    last = F.when(F.col("edits"), n - 1).otherwise(F.lit(-1))
+    some = some.withColumn("place", F.explode(F.when(F.col("longer"), F.sequence(F.lit(0), n - 1)).otherwise(F.sequence(F.lit(-1), last))))
     left = F.substring("rest", F.lit(1), F.col("place"))
     right = F.substring("rest", F.col("place") + 2, n)
     replaced = F.xxhash64("half", F.lit("r"), "place", left, right)
