@@ -22,7 +22,6 @@ SURE = " \t\n\r"
 #: Characters that some definition of white space holds beside those.
 UNSURE = "\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
 CHUNK = re.compile(f"[{SURE}{UNSURE}]*[^{SURE}{UNSURE}]+(?:[{UNSURE}][{SURE}{UNSURE}]*[^{SURE}{UNSURE}]*)*|[{SURE}{UNSURE}]+")
-INNER_SPACE = re.compile(f"[^{SURE}{UNSURE}][{SURE}{UNSURE}]")
 
 #: Entries of each of the two cache generations in a Python worker, about 200 bytes each.
 CACHE = 600_000
@@ -138,7 +137,7 @@ class PrefixCounter:
         model = json.load(open(path, encoding="utf-8"))["model"]
         back = {c: b for b, c in byte_alphabet().items()}
         raw = lambda token: bytes(back[c] for c in token)
-        self.tokens = {raw(t) for t in model["vocab"] if all(c in back for c in t)}
+        self.tokens = {t: t for t in (raw(t) for t in model["vocab"] if all(c in back for c in t))}
         self.rank = {}
         for k, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -147,8 +146,14 @@ class PrefixCounter:
         self.suffixes = {t[k:] for t in self.tokens for k in range(len(t))}
         self.left: dict[bytes, list] = {}
         self.right: dict[bytes, list] = {}
-        self.words = regex.compile(WORDS)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parted = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.space = self._spaces()
+        own = re.escape(self.space)
+        self.words = regex.compile(WORDS.replace(r"[^\s\p{L}\p{N}]", rf"[^{own}\p{{L}}\p{{N}}]").replace(r"\s", f"[{own}]").replace(r"\S", f"[^{own}]"))
+        self.chunk = re.compile(f"[{own}]*[^{own}]+|[{own}]+")
+        if max(map(len, self.tokens)) > 128:
+            raise ValueError("prefix counts are kept in signed bytes, which a token of more than 128 bytes may exceed")
         self.cache = TwoGenerations()
         self.points = TwoGenerations()
         self.apart: dict[tuple[bytes, bytes], bool] = {}
@@ -192,7 +197,7 @@ class PrefixCounter:
             for k in range(i - 1, -1, -1):
                 t = word[k:i]
                 if t in tokens:
-                    ends.append((k, t))
+                    ends.append((k, tokens[t]))
                 elif t not in suffixes:
                     break
             for k, t in reversed(ends):
@@ -204,55 +209,94 @@ class PrefixCounter:
                 raise ValueError("the vocabulary does not hold every byte")
         return count
 
-    def _library(self, chunk: str) -> list[int]:
-        """The same counts by encoding every prefix; for what the word pattern alone can't settle."""
-        prefixes = [chunk[:i] for i in range(1, len(chunk) + 1)]
-        return [0, *(len(e.ids) for e in self.tokenizer.encode_batch_fast(prefixes, add_special_tokens=False))]
+    def _spaces(self) -> str:
+        """The characters that the library takes for white space, as it splits them itself."""
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        doubtful = sorted(UNSURE_SET | set(SURE))
+        # Two of them before a letter are two words only if the pattern takes them for space (a plain one joins the letter).
+        return " " + "".join(c for c in doubtful if len(split(f"a{c}{c}b")) > 3)
+
+    def _split(self, text: str) -> list[str]:
+        """The words of the pattern by the library's own idea of letters and numbers."""
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def _points(self, word: str) -> bytes:
         """The differences at the code points of one word of the pattern."""
         if word in CONTRACTIONS:
             # One word only when whole: its own prefixes are a quote and then a letter.
             return pack([*range(len(word)), self._word(word.encode())[-1]])
-        counts = self._word(word.encode())
-        if not word.isascii():
-            ends = [0]
-            for c in word:
-                ends.append(ends[-1] + len(c.encode()))
-            counts = [counts[k] for k in ends]
-        return pack(counts)
+        return pack(self._counts(word))
 
-    def deltas(self, chunk: str) -> bytes:
-        """The differences at the code points of a chunk."""
-        body = chunk.lstrip(SURE)
-        lead = len(chunk) - len(body)
-        if INNER_SPACE.search(body) or body[:1] in UNSURE_SET or any(s in chunk for s in self.special):
-            return pack(self._library(chunk))
+    def _counts(self, word: str) -> list[int]:
+        """Counts of the prefixes of one word by code points, the empty one first."""
+        counts = self._word(word.encode())
+        if word.isascii():
+            return counts
+        ends = [0]
+        for c in word:
+            ends.append(ends[-1] + len(c.encode()))
+        return [counts[k] for k in ends]
+
+    def _of_words(self, words: list[str]) -> bytes:
         known, old, out = self.points.young, self.points.old, []
-        for word in self.words.findall(chunk):
+        for word in words:
             d = known.get(word)
             if d is None:
                 d = old.get(word) or self._points(word)
                 if len(word) <= LONG:
                     known[word] = d
             out.append(d)
-        whole = b"".join(out)
-        if lead > 1:
-            # A prefix that ends in the leading white space holds it as one word.
-            counts = [0, *np.cumsum(np.frombuffer(whole, np.int8), dtype=np.int64).tolist()]
-            whole = pack(self._word(chunk[:lead].encode()) + counts[lead + 1 :])
+        return b"".join(out)
+
+    def _plain(self, chunk: str) -> bytes:
+        """The differences at the code points of a chunk whose special strings count as common text.
+
+        A chunk is white space and then what holds none, so but for its beginning and contractions
+        a prefix has the words of the whole.
+        """
+        whole = self._of_words(self.words.findall(chunk))
         if not chunk.isascii() and max(chunk) > LATIN:
+            # Here versions of Unicode may differ on letters and numbers: the library's split decides.
             total = int(np.frombuffer(whole, np.int8).sum(dtype=np.int64))
-            if len(whole) != len(chunk) or total != len(self.tokenizer.encode(chunk, add_special_tokens=False).ids):
-                return pack(self._library(chunk))
+            if len(whole) != len(chunk) or total != len(self.encode(chunk)):
+                whole = self._of_words(self._split(chunk))
+        body = chunk.lstrip(self.space)
+        lead = len(chunk) - len(body)
+        if lead > 1 and body:
+            # A prefix that ends in the leading white space holds it as one word.
+            counts = [0, *np.cumsum(np.frombuffer(whole, np.int8), dtype=np.int64).tolist()]
+            whole = pack(self._counts(chunk[:lead]) + counts[lead + 1 :])
         return whole
 
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text without special strings."""
+        return [i for part in self.parted.split(text) for i in self.tokenizer.encode(part, add_special_tokens=False).ids] if self.special else self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def deltas(self, chunk: str) -> bytes:
+        """The differences at the code points of a chunk.
+
+        Up to the last code point of a special string a prefix holds it as common text; with that it is
+        one token, and what follows is encoded as if it began there.
+        """
+        if not any(s in chunk for s in self.special):
+            return self._plain(chunk)
+        out, begin = [], 0
+        for m in self.parted.finditer(chunk):
+            common = np.frombuffer(self._plain(chunk[begin : m.end() - 1]), np.int8).astype(np.int64)
+            upto = int(common.sum())
+            before = int(common[: m.start() - begin].sum())
+            out += [common, [before + 1 - upto]]
+            begin = m.end()
+        if begin < len(chunk):
+            out.append(np.frombuffer(self._plain(chunk[begin:]), np.int8))
+        return pack([0, *np.cumsum(np.concatenate(out), dtype=np.int64).tolist()])
+
     def count(self, texts: list[str | None]) -> list[bytes]:
         """Differences of the prefix counts of each text (null: empty), one signed byte a code point."""
         return list(chain.from_iterable(map(self._count, slices(texts))))
 
     def _count(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [CHUNK.findall(t) if t else [] for t in texts]
+        chunks = [self.chunk.findall(t) if t else [] for t in texts]
         once = {}
         for c in self.cache.unknown(set(chain.from_iterable(chunks))):
             (once if len(c) > LONG else self.cache.young)[c] = self.deltas(c)

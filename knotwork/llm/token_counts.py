@@ -4,7 +4,9 @@
 for each code point, by how much the token count of the prefix changes (one signed byte). What a
 truncation costs, or how much text a budget buys, is then read off without encoding anything again.
 
-Nulls and empty texts count no tokens. Rows are independent: repeated ids give repeated rows, and
+Nulls and empty texts count no tokens. Very long texts are counted whole, in time and memory that grow
+with their length. A vocabulary with tokens of more than 128 bytes is refused: a completed token may
+then lower a prefix's count by more than a signed byte holds. Rows are independent: repeated ids give repeated rows, and
 any further columns of the input are left behind, so their names can't clash.
 """
 

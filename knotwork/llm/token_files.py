@@ -28,6 +28,8 @@ MAGIC = b"KWPFOR1\0"
 BLOCK = 128
 #: Ids after which a file is closed at the next document's end.
 FILE_TOKENS = 1 << 21
+#: Files that a task reads back, about.
+FILES_A_TASK = 8
 #: Share of a block's ids that the packed width has to hold.
 SHARE = 0.95
 
@@ -223,7 +225,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int, p
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: id, start (ids of all documents before it), n_tokens, ids_crc32 of its ids."""
+    """Per document: id, start (ids of all documents before it), n_tokens, ids_crc32 of its ids.
+
+    A task holds the rows of one file and the blocks of one document at a time, however long the text.
+    """
 
     def run(batches):
         import pandas as pd
@@ -234,6 +239,9 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     rows = [(d, start + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, a, x in TokenFile(stream).documents()]
                 yield pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("uri", "start").repartition(F.col("uri"))
+    # The manifest is small, but what its rows stand for is not: a task for every few files.
+    files = manifest.count()
+    tasks = max(min(files, 4 * manifest.sparkSession.sparkContext.defaultParallelism), -(-files // FILES_A_TASK), 1)
+    spread = manifest.select("uri", "start").repartition(tasks, "uri")
     out = spread.mapInPandas(run, "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)

@@ -46,6 +46,21 @@ def test_every_prefix_count():
         assert got == [len(t.encode((text or "")[:k], add_special_tokens=False).ids) for k in range(1, len(text or "") + 1)]
 
 
+@pytest.mark.parametrize("part", ["word\u00a0", "\u3000", "\u00a0", "<|endoftext|>", "a<|endoftext|>!", "\u4e2d\u6587", "x\u200by", "\U0001fae8\u3000z", "'s", " "])
+def test_long_texts_of_odd_spaces_and_special_strings(part):
+    counter, t = chunk_bpe.counter(BPE), library()
+    short = part * 12
+    got = np.cumsum(np.frombuffer(counter.count([short])[0], np.int8).astype(int)).tolist()
+    assert got == [len(t.encode(short[:k], add_special_tokens=False).ids) for k in range(1, len(short) + 1)]
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    long = part * (1_000_000 // len(part.encode()) if len(part.encode()) != 1 else 50_000)
+    deltas = counter.count([long])[0]
+    assert int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64)) == len(t.encode(long, add_special_tokens=False).ids)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_prefix_table_answers_budgets(spark):
     df = token_counts.prefix_table(docs(spark, ["the cat sat", None]), BPE)
     got = df.select("doc_id", "n_bytes", "n_tokens", token_counts.tokens_at(F.col("prefix_deltas"), 7).alias("a"), token_counts.chars_within(F.col("prefix_deltas"), 2).alias("b")).orderBy("doc_id").collect()
@@ -61,6 +76,12 @@ def test_blocks_round_trip(n):
     assert [(d, a, x.tolist()) for d, a, x in f.documents(step=300)] == [(7, 0, ids[: n // 3].tolist()), (9, n // 3, ids[n // 3 :].tolist())]
 
 
+def test_token_files_are_read_back_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 50)
+    manifest = token_files.write_token_files(docs(spark, ["some words of a text"] * 400), BPE, f"file://{tmp_path}/m", 2, 2)
+    assert manifest.count() > 20 and token_files.read_token_files(manifest).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_token_files_round_trip(spark, tmp_path):
     manifest = token_files.write_token_files(docs(spark, ODD), BPE, f"file://{tmp_path}/t", 2, 3)
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_token_files(manifest).collect()}
@@ -242,14 +263,8 @@ def test_short_lines_against_every_pair(spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
-def test_decontaminate(spark):
-    rng = np.random.default_rng(4)
-    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
-    items = [" ".join(word() for _ in range(n)) for n in (40, 20, 60)] + ["tiny item", "", None]
-    w = items[2].split()
-    texts = [f"Before, {items[0].upper()}. After", " ".join(word() for _ in range(300)), items[1][: len(items[1]) // 3], " ".join([*w[:58], "zz", w[59]]), "tiny item", None, "", " ".join(w[30:] + w[:30]), f"{items[1]} {items[1]}"]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+def contaminated_by_hand(texts, items):
+    """Every window of every text against every item."""
 
     def cut(t):
         v = t.lower().replace(",", " ").replace(".", " ").split()
@@ -263,6 +278,36 @@ def test_decontaminate(spark):
             best = max((sum((Counter(a[s : s + m]) & Counter(b)).values()) for s in range(len(a) - m + 1)), default=0) if m else 0
             if m and best / (len(b) + m - best) >= 0.8:
                 want[d, i] = round(best / (len(b) + m - best), 6)
+    return want
+
+
+def test_decontaminate_near_the_similarity_and_with_repeated_phrases(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    items, texts = [], []
+    for k in range(40):
+        phrase, other = [word() for _ in range(6)], [word() for _ in range(6)]
+        w = [word() for _ in range(24 + k % 3)] if k % 2 else (phrase * 2 + other * 2 + phrase)[: 24 + k % 3]
+        items.append(" ".join(w))
+        # Words put in front move the passage, and some at an end are others: 0 to 4 of about 20 shingles are lost.
+        texts.append(" ".join([word() for _ in range(int(rng.integers(0, 30)))] + w[: len(w) - k % 5] + [word() for _ in range(30)]))
+    texts += ["very " * 400, " ".join((phrase * 2 + other * 2) * 16)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    want = contaminated_by_hand(texts, items)
+    assert got == want and 20 < len(want) < 40
+
+
+def test_decontaminate(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    items = [" ".join(word() for _ in range(n)) for n in (40, 20, 60)] + ["tiny item", "", None]
+    w = items[2].split()
+    texts = [f"Before, {items[0].upper()}. After", " ".join(word() for _ in range(300)), items[1][: len(items[1]) // 3], " ".join([*w[:58], "zz", w[59]]), "tiny item", None, "", " ".join(w[30:] + w[:30]), f"{items[1]} {items[1]}"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+
+    want = contaminated_by_hand(texts, items)
     assert got == want and len(want) >= 5
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
