@@ -76,10 +76,10 @@ def test_blocks_round_trip(n):
     assert [(d, a, x.tolist()) for d, a, x in f.documents(step=300)] == [(7, 0, ids[: n // 3].tolist()), (9, n // 3, ids[n // 3 :].tolist())]
 
 
-def test_token_files_are_read_back_by_many_tasks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_TOKENS", 50)
-    manifest = token_files.write_token_files(docs(spark, ["some words of a text"] * 400), BPE, f"file://{tmp_path}/m", 2, 2)
-    assert manifest.count() > 20 and token_files.read_token_files(manifest).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+def test_token_files_are_read_back_by_many_tasks(spark, tmp_path):
+    manifest = token_files.write_token_files(docs(spark, ["some words of a text"] * 400), BPE, f"file://{tmp_path}/m", 2, 12)
+    back = token_files.read_token_files(manifest)
+    assert manifest.count() > 6 and back.count() == 400 and back.rdd.getNumPartitions() >= 4
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -221,6 +221,23 @@ def test_embeddings(spark):
     link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None]) & ~np.eye(123, dtype=bool)
     assert [got[i]["n_links"] for i in range(123)] == link.sum(axis=1).tolist() and link.sum() > 500
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906)) and len(got) == 129
+    reach = link | np.eye(123, dtype=bool)
+    while ((reach @ reach) != reach).any():
+        reach = reach @ reach
+    root = reach.argmax(axis=1)
+    assert [got[i]["component_id"] for i in range(123)] == root.tolist() and [got[i]["kept"] for i in range(123)] == (root == np.arange(123)).tolist()
+    assert embedding_dups.near_duplicates(df.limit(0)).count() == 0
+    clash = embedding_dups.near_duplicates(df.withColumn("n_links", F.lit("x")).withColumn("keys", F.lit(1)))
+    assert clash.columns == ["vec_id", "n_links", "component_id", "kept"] and clash.count() == 129
+
+
+def test_embeddings_in_dense_buckets_and_under_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    x = np.float32(centre + 0.02 * rng.standard_normal((3000, 16)))
+    rows = [(i // 2 if i < 10 else i, [float(v) for v in e], "a") for i, e in enumerate(x)]
+    got = embedding_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert len(got) == 3000 and all(r["component_id"] == 0 for r in got) and {r["n_links"] for r in got if r["vec_id"] >= 10} == {2999}
 
 
 # ---- lines and decontamination
