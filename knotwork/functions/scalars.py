@@ -39,7 +39,7 @@ def claim_id(subject, aspect, value, episode) -> Column:
 
 def risk_id(axis, evidence, affected) -> Column:
     body = F.concat_ws("|", _c(axis), F.array_join(_c(evidence), " "), F.array_join(_c(affected), ","))
-    return F.concat(F.lit("risk-"), F.substring(F.sha1(body), 1, 8))
+    return F.concat(F.lit("risk-"), _c(axis), F.lit("-"), F.substring(F.sha1(body), 1, 8))
 
 
 def goal_id(number) -> Column:

@@ -60,10 +60,9 @@ def diff_edges(base_nodes: DataFrame, base: DataFrame, new: DataFrame) -> DataFr
 
 def goal_delta(base: DataFrame, new: DataFrame) -> DataFrame:
     """Episodes gained and lost by each goal (goal, episode tables)."""
-    sets = [df.groupBy("goal").agg(F.collect_set("episode").alias(c)) for df, c in ((base, "was"), (new, "now"))]
-    empty = F.array().cast("array<string>")
-    both = sets[0].join(sets[1], "goal", "full_outer").select("goal", F.coalesce("was", empty).alias("was"), F.coalesce("now", empty).alias("now"))
-    return both.select("goal", F.size(F.array_except("now", "was")).alias("gained"), F.size(F.array_except("was", "now")).alias("lost"))
+    marked = base.select("goal", "episode", F.lit(1).alias("was"), F.lit(0).alias("now")).unionAll(new.select("goal", "episode", F.lit(0), F.lit(1)))
+    each = marked.groupBy("goal", "episode").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+    return each.groupBy("goal").agg(F.count_if(F.expr("now > was")).alias("gained"), F.count_if(F.expr("was > now")).alias("lost"))
 
 
 def contexts(nodes: DataFrame, edges: DataFrame, contradicted: DataFrame) -> DataFrame:
@@ -106,3 +105,54 @@ def risks(gap_nodes: DataFrame, pairs: DataFrame, claims: DataFrame, reach: Data
 def route(risk_rows: DataFrame, review_from: float = vocab.REVIEW_FROM) -> DataFrame:
     """Adds bucket: verified with a goal, else review from a severity on, else unlinkable."""
     return risk_rows.withColumn("bucket", F.when(F.size("goals") > 0, "verified").when(F.col("severity") >= review_from, "review").otherwise("unlinkable"))
+
+
+def affects(risk_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AFFECTS edges (src: risk id, etype, dst) to the goals of a risk that exist. risk_rows: id, goals."""
+    ends = risk_rows.select(F.col("id").alias("src"), F.lit("AFFECTS").alias("etype"), F.explode("goals").alias("dst"))
+    return ends.join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "etype", "dst").distinct()
+
+
+def built_risks(calls: DataFrame, reach: DataFrame, goals: DataFrame) -> DataFrame:
+    """Risks that were classified elsewhere (axis, node, evidence, participants, confidence), completed and checked.
+
+    An unknown axis or no evidence stops the query. Without a node the confidence is the severity.
+    reach: node_id, percentile. goals: node_id, goals.
+    """
+    axis = F.when(F.col("axis").isin(*vocab.RISK_AXES), F.col("axis")).otherwise(F.raise_error(F.concat(F.lit("unknown axis: "), F.coalesce("axis", F.lit("null")))))
+    evidence = F.when(F.coalesce(F.size("evidence"), F.lit(0)) > 0, F.col("evidence")).otherwise(F.raise_error(F.lit("a risk needs evidence")))
+    rows = calls.withColumn("node", S.present("node")).join(reach.withColumnRenamed("node_id", "node"), "node", "left").join(goals.withColumnRenamed("node_id", "node"), "node", "left")
+    grounded = S.severity(F.coalesce("percentile", F.lit(0.0)), F.lit(1), F.col("confidence"))
+    alone = F.round(F.least(F.lit(1.0), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))), 3)
+    empty = F.array().cast("array<string>")
+    out = rows.select(axis.alias("axis"), "node", evidence.alias("evidence"), F.coalesce("participants", empty).alias("participants"), "confidence", F.when(F.col("node").isNull(), alone).otherwise(grounded).alias("severity"), F.coalesce("goals", empty).alias("goals"))
+    return out.withColumn("id", S.risk_id("axis", "evidence", "goals"))
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame, claims: DataFrame, communities: DataFrame, folder: str) -> None:
+    """Write what `diff` compares: nodes, semantic edges, claims and communities, below a folder."""
+    parts = {"nodes": nodes.select("node_id").distinct(), "edges": edges.where(F.col("etype").isin(*vocab.SEMANTIC.values())).select("src", "etype", "dst").distinct(), "claims": claims, "communities": communities}
+    for name, part in parts.items():
+        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def diff_claims(base: DataFrame, new: DataFrame) -> DataFrame:
+    """(change, id): claims that are new, and those ended since. Claims as `claims.normalise` gives them."""
+    ended = S.resolved("superseded_by", "invalid_at", "expired_at")
+    old = base.groupBy("id").agg(F.bool_or(ended).alias("was_ended"))
+    rows = new.groupBy("id").agg(F.bool_or(ended).alias("ended")).join(old, "id", "left")
+    kinds = F.array_compact(F.array(F.when(F.col("was_ended").isNull(), F.lit("new")), F.when(F.col("ended") & ~F.coalesce("was_ended", F.lit(False)), F.lit("superseded"))))
+    return rows.select(F.explode(kinds).alias("change"), "id")
+
+
+def new_contradictions(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs (a, b) of contradictory claims of which one is new."""
+    fresh = new.join(base.select("id"), "id", "left_anti").select("ord")
+    pairs = C.contradictions(new).select("a", "b")
+    return pairs.join(fresh, pairs.a == fresh.ord, "left_semi").unionByName(pairs.join(fresh, pairs.b == fresh.ord, "left_semi")).distinct()
+
+
+def touched_communities(new_nodes: DataFrame, connecting: DataFrame, communities: DataFrame) -> DataFrame:
+    """Communities (node, community) that a new node (node_id) or an end of a connecting edge (src, dst) is in."""
+    ends = new_nodes.select(F.col("node_id").alias("node")).unionAll(connecting.select("src")).unionAll(connecting.select("dst"))
+    return communities.join(ends.distinct(), "node", "left_semi").select("community").distinct()

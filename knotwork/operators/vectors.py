@@ -57,17 +57,34 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str) -> Dat
     return best.select("query", "id", "distance", F.round(S.similarity(F.col("distance")), 6).alias("similarity"))
 
 
-def episodes_for(edges: DataFrame, seeds: DataFrame, topn: int | None = 5, rounds: int = 20) -> DataFrame:
+def replicas(edges: DataFrame, seeds: DataFrame, topn: int = 5) -> DataFrame:
+    """`episodes_for` with chain: the shortest path from the seed's node to the episode (null without one), by seeds of one node."""
+    best = graph.kept(episodes_for(edges, seeds, topn))
+    own = seeds.select(F.col("seed").alias("name"), F.col("node").alias("seed"))
+    reached = graph.kept(graph.hops(edges, own.select(F.col("seed").alias("node")).distinct()))
+    wanted = best.join(own, best.seed == own.name).select(own.seed, F.col("episode").alias("node")).distinct()
+    paths = graph.chains(reached, wanted).join(own, "seed").select(F.col("name").alias("seed"), F.col("node").alias("episode"), "chain")
+    return best.join(paths, ["seed", "episode"], "left")
+
+
+def episodes_for(edges: DataFrame, seeds: DataFrame, topn: int | None = 5, rounds: int = 100) -> DataFrame:
     """(seed, episode, score) of the best episodes by personalised PageRank; ties to the greater id."""
     ranks = graph.pagerank(edges, seeds, rounds).where(F.col("node").startswith(vocab.EPISODE) & (F.col("score") > 0))
-    ranks = ranks.select("seed", F.col("node").alias("episode"), F.round("score", 6).alias("score"))
+    ranks = ranks.select("seed", F.col("node").alias("episode"), F.round("score", 4).alias("score"), F.col("score").alias("exact"))
     if topn is None:
-        return ranks
-    w = Window.partitionBy("seed").orderBy(F.col("score").desc(), F.col("episode").desc())
-    return ranks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topn).drop("rank")
+        return ranks.drop("exact")
+    # Nine places decide the order: what lies below is noise of the sums.
+    w = Window.partitionBy("seed").orderBy(F.round("exact", 9).desc(), F.col("episode").desc())
+    return ranks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topn).drop("rank", "exact")
 
 
-def weighted(similar: DataFrame) -> DataFrame:
-    """Seeds (seed, node, weight) from similarities (seed, node, similarity); all-zero ones give none."""
+def weighted(similar: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Seeds (seed, node, weight) from similarities (seed, node, similarity); all-zero ones give none.
+
+    With edges, only nodes of the graph are seeds; weights are shares of those.
+    """
+    if edges is not None:
+        inside = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+        similar = similar.join(inside, "node", "left_semi")
     total = similar.groupBy("seed").agg(F.sum("similarity").alias("total")).where("total > 0")
     return similar.join(total, "seed").select("seed", "node", (F.col("similarity") / F.col("total")).alias("weight"))

@@ -19,7 +19,6 @@ from knotwork.sources.tables import Catalog, render, with_prefix
 from knotwork.streaming import events as E
 
 TODAY, AT = "2001-09-01", "2000-01-01"
-SYSTEM = ("system-component",)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -51,12 +50,13 @@ AXIS = _in(vocab.VALUE_AXIS.values())
 GOALS = "select concat('kr-', n_nationkey) as goal, concat('obj-', n_regionkey) as objective, case when n_nationkey % 3 > 0 then concat('EPIC-', n_nationkey % 5) end as epic from nation"
 _RIPE = "case when ttl_days > 0 then (cast('2001-09-01' as date) - updated) / cast(ttl_days as double) end"
 _CLASS = f"case when {_RIPE} < 0.5 then 'fresh' when {_RIPE} < 1 then 'ripening' when {_RIPE} is not null then 'wilting' end"
+_COMPLETE = "case when nexus <> '' and node_type <> '' and kind <> '' and owner <> '' and confidence is not null and n_sources > 0 and updated is not null and ttl_days is not null and ripeness <> '' then 1.0 else 0.0 end"
 _KEYS = "persons as (select case when length(title) - length(replace(title, ' ', '')) > 0 then lower(title) else replace(replace(node_id, 'team-', ''), '-', ' ') end as key, node_id from kg_nodes where node_type = 'person'), idx as (select key, min(node_id) as person from persons group by key having count(*) = 1)"
 
 
 @query("context_ripeness", f"""
 select coalesce(nexus, '?') as nexus, count(*) as n_nodes,
-  round(avg(case when title is not null and title <> '' and confidence is not null and updated is not null and n_sources > 0 then 1.0 else 0.0 end)
+  round(avg({_COMPLETE})
     * coalesce(sum(coalesce(confidence, 0.5) * greatest(0.0, least(1.0, 1 - {_RIPE}))) / sum(case when ttl_days > 0 then coalesce(confidence, 0.5) end), 0.0), 3) as ripeness
 from kg_nodes group by 1""", "kg_nodes")
 def _(c):
@@ -109,7 +109,7 @@ hits as (select r.*, n.node_id is not null as hit from refs r left join (select
 
 
 @query("ground_refs", f"""{_GROUND} select episode_id, ref, case when hit then 'nexus' else plane end as plane,
-case when hit then ref when plane = 'jira' then concat('task-', lower(ref)) end as target, case when hit then 'high' when plane = 'jira' then 'medium' end as trust, hit or plane = 'jira' as resolved from hits""", "kg_nodes", "kg_episodes")
+case when hit then ref when plane = 'jira' then concat('task-', ref) end as target, case when hit then 'high' when plane = 'jira' then 'medium' end as trust, hit or plane = 'jira' as resolved from hits""", "kg_nodes", "kg_episodes")
 def _(c):
     e = c.kg_episodes
     refs = e.select("episode_id", F.lit("nexus").alias("plane"), F.col("nexus_ref").alias("ref")).unionAll(e.select("episode_id", F.lit("jira"), "jira_ref"))
@@ -125,8 +125,9 @@ def _(c):
 
 
 @query("derive_episode_edges", f"""{_GROUND}, {_KEYS}, named as (select episode_id, lower(replace(participant, ' (guest)', '')) as key from kg_episodes)
-select distinct * from (select 'MENTIONS' as etype, episode_id as src, case when hit then ref else concat('task-', lower(ref)) end as dst, case when hit then 'high' else 'medium' end as confidence from hits where hit or plane = 'jira'
-union all select 'involves', episode_id, coalesce(a.person, b.person), 'medium' from named n left join idx a on a.key = n.key
+select distinct * from (select 'MENTIONS' as etype, episode_id as src, case when hit then ref else concat('task-', ref) end as dst, case when hit then 'high' else 'medium' end as confidence from hits where hit or plane = 'jira'
+union all select 'MENTIONS', hits.episode_id, e.episode_id, 'high' from hits join (select distinct episode_id from kg_episodes) e on substring(e.episode_id, 7) = ref where not hit and plane = 'nexus'
+union all select 'involves', episode_id, coalesce(a.person, b.person), 'high' from named n left join idx a on a.key = n.key
 left join idx b on b.key = concat(split_part(n.key, ' ', 2), ' ', split_part(n.key, ' ', 1)) where coalesce(a.person, b.person) is not null)""", "kg_nodes", "kg_episodes")
 def _(c):
     return D.episode_edges(c.kg_episodes, c.kg_nodes)
@@ -142,9 +143,10 @@ def _(c):
     return Q.degrees(c.kg_edges)
 
 
-@query("isolated_nodes", "select node_id, node_type from kg_nodes n where not exists (select 1 from kg_edges e where e.src = n.node_id) and not exists (select 1 from kg_edges e where e.dst = n.node_id)", "kg_nodes", "kg_edges")
+@query("isolated_nodes", "with live as (select src, dst from kg_edges where expired_at is null and etype <> 'involves'), ends as (select src as node_id from live union select dst from live) select n.node_id, node_type from kg_nodes n left join ends e on e.node_id = n.node_id where e.node_id is null and coalesce(reports_to, '') = ''", "kg_nodes", "kg_edges")
 def _(c):
-    return Q.isolated(c.kg_nodes, c.kg_edges)
+    """Nodes that no edge of today's graph touches, involvement aside."""
+    return Q.isolated(c.kg_nodes, c.kg_edges.where("expired_at is null and etype <> 'involves'"))
 
 
 @query("workslop_nodes", "select node_id, nexus from kg_nodes where n_sources = 0", "kg_nodes")
@@ -180,7 +182,7 @@ def _(c):
     return Q.spine_invariants(c.kg_nodes, _spine(c))
 
 
-@query("gate_status", f"""{_OWN_EDGES}, {_INVARIANTS}, ripe as (select round(avg(case when title <> '' and confidence is not null and n_sources > 0 then 1.0 else 0.0 end)
+@query("gate_status", f"""{_OWN_EDGES}, {_INVARIANTS}, ripe as (select round(avg({_COMPLETE})
     * coalesce(sum(coalesce(confidence, 0.5) * greatest(0.0, least(1.0, 1 - {_RIPE}))) / sum(coalesce(confidence, 0.5)), 0.0), 3) as r from kg_nodes group by nexus),
 x as (select (select min(r) from ripe) as ripeness_min, (select count(*) from kg_refs where ref not in (select node_id from kg_nodes)) as n_broken, (select count(*) from inv where rule = 'no-owner') as n_unowned,
 (select count(*) from inv where rule = 'spine-orphan') as n_orphans, (select count(*) from inv where rule = 'many-owners') as n_contradictions)
@@ -196,12 +198,12 @@ select 'ERROR' as severity, 'duplicate-id' as rule, node_id from kg_nodes group
 union all select 'ERROR', 'missing-confidence', node_id from kg_nodes where confidence is null
 union all select 'ERROR', 'missing-owner', node_id from kg_nodes where coalesce(owner, '') = ''
 union all select 'ERROR', 'confidence-range', node_id from kg_nodes where confidence < 0 or confidence > 1
-union all select 'ERROR', 'unknown-nexus', node_id from kg_nodes where nexus not in ('okr', 'team', 'product', 'pulse', 'machinery', 'building')
+union all select 'ERROR', 'unknown-nexus', node_id from kg_nodes where nexus not in ('okr', 'team', 'product', 'pulse', 'system', 'building')
 union all select 'ERROR', 'no-sources', node_id from kg_nodes where n_sources = 0
 union all select 'WARN', 'wilting', node_id from kg_nodes where {_RIPE} >= 1
 union all select 'ERROR', 'dangling-edge', src from d where dst not in (select node_id from kg_nodes)""", "kg_nodes", "kg_refs")
 def _(c):
-    registry = c.spark.createDataFrame([(s,) for s in ("okr", "team", "product", "pulse", "machinery", "building")], "slug string")
+    registry = c.spark.createDataFrame([(s,) for s in ("okr", "team", "product", "pulse", "system", "building")], "slug string")
     return Q.lint(c.kg_nodes, c.kg_refs.select("src", F.col("ref").alias("dst"), F.upper("field").alias("etype")), registry, TODAY)
 
 
@@ -215,20 +217,26 @@ def _(c):
     return Q.ripeness_drift(c.kg_nodes.withColumn("ripe", F.lit("fresh")), "ripe", TODAY)
 
 
-_SOME = "fewer as (select * from kg_edges where not (etype = 'SERVES' and src like 'cust-%5'))"
-_GAPS = f"{_SOME}, ends as (select src as node_id from fewer union select dst from fewer), gap as (select node_id, title, case when node_id not in (select node_id from ends) then 'isolated' when node_type = 'system-component' and node_id not in (select src from fewer where etype = 'SERVES') then 'no-serves' end as reason from kg_nodes)"
+_SOME = "fewer as (select * from kg_edges where expired_at is null)"
+_GAPS = f"{_SOME}, ends as (select src as node_id from fewer union select dst from fewer), gap as (select node_id, coalesce(nullif(title, ''), node_id) as title, case when node_id not in (select node_id from ends) and coalesce(reports_to, '') = '' then 'isolated' when nexus = 'system' and node_id not in (select src from fewer where etype = 'SERVES') then 'no-serves' end as reason from kg_nodes)"
 
 
 def _some(c: Catalog) -> DataFrame:
-    return c.kg_edges.where("not (etype = 'SERVES' and src like 'cust-%5')")
+    """The edges that have not expired."""
+    return c.kg_edges.where("expired_at is null")
 
 
 @query("find_gaps", f"with {_GAPS} select * from gap where reason is not null", "kg_nodes", "kg_edges")
 def _(c):
-    return Q.gaps(c.kg_nodes, _some(c), SYSTEM)
+    return Q.gaps(c.kg_nodes, _some(c))
 
 
 @query("value_axis_gaps", f"select node_id, nexus from kg_nodes where nexus in {_in(vocab.VALUE_NEXUSES)} and node_id not in (select src from kg_edges where etype in {AXIS} union select dst from kg_edges where etype in {AXIS})", "kg_nodes", "kg_edges")
+def _(c):
+    return Q.value_axis_gaps(c.kg_nodes, c.kg_edges, Q.value_axis_eligible(S.is_content("node_type", "node_id")))
+
+
+@query("value_axis_gaps_all", f"select node_id, nexus from kg_nodes where node_id not in (select src from kg_edges where etype in {AXIS} union select dst from kg_edges where etype in {AXIS})", "kg_nodes", "kg_edges")
 def _(c):
     return Q.value_axis_gaps(c.kg_nodes, c.kg_edges)
 
@@ -238,18 +246,18 @@ def _(c):
     return Q.goal_choices(c.kg_nodes)
 
 
-_QUEUE = "queue as (select concat('cust-', c_custkey) as src, case c_custkey % 4 when 0 then 'open' when 1 then 'approved' when 2 then 'promoted' else 'resolved' end as status, concat('kr-', c_custkey % 40) as dst from customer where c_custkey % 3 = 0)"
+_QUEUE = "queue as (select concat('cust-', c_custkey) as src, case c_custkey % 4 when 0 then 'open' when 1 then 'approved' when 2 then 'promoted' else 'resolved' end as status, concat('kr-', c_custkey % 40) as dst from customer)"
 
 
 def _queue(c: Catalog) -> DataFrame:
     k = F.col("c_custkey")
     status = F.when(k % 4 == 0, "open").when(k % 4 == 1, "approved").when(k % 4 == 2, "promoted").otherwise("resolved")
-    return c.customer.where(k % 3 == 0).select(F.concat(F.lit("cust-"), k).alias("src"), status.alias("status"), F.concat(F.lit("kr-"), k % 40).alias("dst"))
+    return c.customer.select(F.concat(F.lit("cust-"), k).alias("src"), status.alias("status"), F.concat(F.lit("kr-"), k % 40).alias("dst"))
 
 
 @query("candidate_transition", f"with {_GAPS}, {_QUEUE}, g as (select node_id as src from gap where reason is not null) select coalesce(queue.src, g.src) as src, case when status is null then 'open' when status = 'open' and g.src is null then 'resolved' else status end as status from queue full join g on g.src = queue.src", "kg_nodes", "kg_edges")
 def _(c):
-    return Q.queue_transition(_queue(c), Q.gaps(c.kg_nodes, _some(c), SYSTEM).select(F.col("node_id").alias("src")))
+    return Q.queue_transition(_queue(c), Q.gaps(c.kg_nodes, _some(c)).select(F.col("node_id").alias("src")))
 
 
 @query("promote_candidates", f"with {_QUEUE} select src, dst, case when src in (select node_id from kg_nodes) and dst in (select node_id from kg_nodes where node_type = 'key-result') then 'promoted' else 'skipped' end as outcome from queue where status = 'approved'", "kg_nodes")
@@ -270,7 +278,7 @@ def _(c):
     return T.as_of(c.kg_edges, None)
 
 
-_STORED = "stored as (select src, etype, dst, min(valid_at) as valid_at, max(invalid_at) as invalid_at from kg_edges where not src like '%7' group by src, etype, dst), asserted as (select src, etype, dst, min(valid_at) as new_valid from kg_edges where not dst like '%3' group by src, etype, dst)"
+_STORED = "stored as (select src, etype, dst, min(valid_at) as valid_at, max(invalid_at) as invalid_at from kg_edges where valid_at is null or valid_at < cast('2000-01-01' as date) group by src, etype, dst), asserted as (select src, etype, dst, min(valid_at) as new_valid from kg_edges where expired_at is null and invalid_at is null group by src, etype, dst)"
 
 
 @query("reconcile_supersede", f"""with {_STORED}, a as (select * from asserted where etype in {SEM})
@@ -278,8 +286,8 @@ select coalesce(s.src, a.src) as src, coalesce(s.etype, a.etype) as etype, coale
 case when a.src is not null then null when s.etype in {SEM} and s.invalid_at is null then cast('2002-01-01' as date) else s.invalid_at end as invalid_at
 from stored s full join a on a.src = s.src and a.etype = s.etype and a.dst = s.dst""", "kg_edges")
 def _(c):
-    stored = c.kg_edges.where("not src like '%7'").groupBy("src", "etype", "dst").agg(F.min("valid_at").alias("valid_at"), F.max("invalid_at").alias("invalid_at"))
-    return T.supersede(stored, c.kg_edges.where("not dst like '%3'"), "2002-01-01")
+    stored = c.kg_edges.where("valid_at is null or valid_at < date '2000-01-01'").groupBy("src", "etype", "dst").agg(F.min("valid_at").alias("valid_at"), F.max("invalid_at").alias("invalid_at"))
+    return T.supersede(stored, c.kg_edges.where("expired_at is null and invalid_at is null"), "2002-01-01")
 
 
 _NORM = """claims as (select ord, concat('claim-', episode, '-', substring(sha1(concat_ws('|', subject, aspect, value, episode)), 1, 8)) as id, subject, aspect, value, coalesce(nullif(polarity, ''), 'neutral') as polarity, speaker, speaker_role,
@@ -338,19 +346,14 @@ def _(c):
     return C.superseded_by(C.normalise(c.kg_claims))
 
 
-_SPARSE = "small as (select src, dst, etype from kg_edges where etype = 'SERVES' and not src like '%4')"
-
-
-@query("reachability_from_kr", f"""with {_SPARSE}, own as (select src as a, dst as b from small union select dst, src from small), near as (select node_id from kg_nodes where node_type = 'key-result' union select b from own join kg_nodes on node_id = a and node_type = 'key-result')
-select node_id, node_id in (select node_id from near) or node_id in (select b from own where a in (select node_id from near)) as reached from kg_nodes where node_type <> 'episode'""", "kg_nodes", "kg_edges")
-def _(c):
-    return G.reachability(c.kg_nodes.where("node_type <> 'episode'"), c.kg_edges.where("etype = 'SERVES' and not src like '%4'"))
+_REACHING = _in(vocab.REACHING)
 
 
-@query("reachability_whole")
+@query("reachability_from_kr", f"""with e as (select src as a, dst as b from kg_edges where etype in {_REACHING} union select dst, src from kg_edges where etype in {_REACHING}),
+walk(node) as (select node_id from kg_nodes where node_type = 'key-result' union select e.b from walk join e on e.a = node)
+select node_id, node_id in (select node from walk) as reached from kg_nodes""", "kg_nodes", "kg_edges", recursive=True)
 def _(c):
-    nodes = c.kg_nodes
-    return G.reachability(nodes, c.kg_edges).join(nodes.where("node_type <> 'episode'").select("node_id"), "node_id", "left_semi")
+    return G.reachability(c.kg_nodes, c.kg_edges)
 
 
 @query("bfs_hops", """with recursive e as (select src, dst from kg_edges where etype = 'SERVES' union select dst, src from kg_edges where etype = 'SERVES'),
@@ -381,16 +384,19 @@ def _(c):
     return G.affected_goals(c.kg_edges.where("etype = 'SERVES'")).select("node", F.array_join("goals", ",").alias("goals"))
 
 
-_PPR = """e as (select src, dst from kg_edges where {which} union select dst, src from kg_edges where {which}), l as (select src, dst, count(*) over (partition by src) as deg from e), n as (select distinct src as node from l),
-r(i, node, p) as (select 0, node, case when node = 'kr-3' then cast(1 as double) else 0 end from n union all
-select i + 1, n2, sum(x) from (select r.i, l.dst as n2, 0.85 * r.p / l.deg as x from r join l on l.src = r.node where r.i < {rounds} union all select distinct r.i, 'kr-3', cast(0.15 as double) from r where r.i < {rounds}) group by i, n2)"""
 _WHICH = "etype in ('SERVES', 'MENTIONS') and dst not like 'obj-%'"
+_PPR = f"""e as (select src, dst from kg_edges where {_WHICH} union select dst, src from kg_edges where {_WHICH}), l as (select src, dst, count(*) over (partition by src) as deg from e), n as (select distinct src as node from l),
+r(i, node, p) as (select 0, node, case when node = 'kr-3' then cast(1 as double) else 0 end from n union all
+select i + 1, n2, sum(x) from (select r.i, l.dst as n2, 0.85 * r.p / l.deg as x from r join l on l.src = r.node where r.i < 60 union all select distinct r.i, 'kr-3', cast(0.15 as double) from r where r.i < 60) group by i, n2),
+settled as (select min(i) as i from (select a.i, sum(abs(a.p - b.p)) as change from r a join r b on b.node = a.node and a.i = b.i + 1 group by a.i) where change < 1e-6 * (select count(*) from n))"""
 
 
-@query("ppr_topk", "with " + _PPR.format(which=_WHICH, rounds=10) + " select 'kr-3' as seed, node as episode, round(p, 6) as score from r where i = 10 and node like 'pulse-%' and p > 0 order by round(p, 6) desc, node desc limit 10", "kg_edges", recursive=True)
+@query("ppr_topk", f"""with {_PPR}, best as (select node as episode, p from r where i = (select i from settled) and node like 'pulse-%' and p > 0 order by round(p, 9) desc, node desc limit 10)
+select 'kr-3' as seed, episode, round(p, 4) as score, concat('kr-3>', m.dst, '>', episode) as chain from best join kg_edges m on m.src = episode and m.etype = 'MENTIONS' join kg_edges s on s.src = m.dst and s.dst = 'kr-3' and s.etype = 'SERVES'""", "kg_edges", recursive=True)
 def _(c):
     seeds = c.spark.createDataFrame([("kr-3", "kr-3", 1.0)], "seed string, node string, weight double")
-    return V.episodes_for(c.kg_edges.where(_WHICH), seeds, 10, 10)
+    edges = G.kept(c.kg_edges.where(_WHICH).select("src", "dst", "etype"))
+    return V.replicas(edges, seeds, 10).withColumn("chain", F.array_join("chain", ">"))
 
 
 @query("communities_lpa")
@@ -434,28 +440,24 @@ def _(c):
     return rows.select("node", "n", S.severity(F.col("percentile"), F.col("n"), F.col("gc")).alias("severity"))
 
 
-_KNN = "q as (select embedding as q from embeddings where vec_id = 0), knn as (select vec_id as id, round(list_sum(list_transform(list_zip(embedding, q.q), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))), 9) as distance from embeddings, q order by 2, 1 limit 8)"
+_KNN = "q as (select vec_id as query, embedding as q from embeddings where vec_id % 50 = 0), dist as (select query, vec_id as id, round(list_sum(list_transform(list_zip(embedding, q.q), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))), 9) as distance from embeddings, q), knn as (select * from (select *, row_number() over (partition by query order by distance, id) as k from dist) where k <= 8)"
 
 
-def _knn(c: Catalog, which: str) -> DataFrame:
-    queries = c.embeddings.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return V.nearest(c.embeddings, queries, 8)
-
-
-@query("knn_seeds", f"with {_KNN} select cast(0 as bigint) as query, id, distance, round(greatest(0.0, 1 - distance / 2), 6) as similarity from knn")
+@query("knn_seeds", f"with {_KNN} select query, id, distance, round(greatest(0.0, 1 - distance / 2), 6) as similarity from knn")
 def _(c):
-    return _knn(c, "vec_id = 0")
-
-
-@query("knn_every_50th")
-def _(c):
-    return _knn(c, "vec_id % 50 = 0")
+    queries = c.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return V.nearest(c.embeddings, queries, 8)
 
 
 @query("text_to_replica")
 def _(c):
-    similar = _knn(c, "vec_id % 50 = 0").select(F.concat(F.lit("text-"), "query").alias("seed"), F.concat(F.lit("cust-"), "id").alias("node"), "similarity")
-    return V.episodes_for(c.kg_edges.where(_WHICH), V.weighted(similar), 5, 10)
+    """The names of all nations as texts, the titles of all nodes as what they may mean."""
+    texts = c.nation.select(F.concat(F.lit("text-"), "n_nationkey").alias("query"), F.lower("n_name").alias("text"))
+    queries = V.embed(texts, "query", "text", 64).withColumnRenamed("embedding", "q")
+    similar = V.nearest(V.embed(c.kg_nodes.where("title is not null"), "node_id", "title", 64), queries, 5, "node_id")
+    edges = G.kept(T.as_of(c.kg_edges, None).select("src", "dst", "etype"))
+    seeds = G.kept(V.weighted(similar.select(F.col("query").alias("seed"), F.col("id").alias("node"), "similarity"), edges))
+    return V.episodes_for(edges, seeds, 5)
 
 
 @query("text_embeddings")
@@ -522,14 +524,14 @@ _RISKS = f"""{_NORM}, {_OPEN}, {_PAIRS}, {_MEMBERS}, {_PCT}, src as (select 'und
 union all select 'expectation_divergence', pairs.grounded_node, concat(a, '-', b), 2, (ca.confidence + cb.confidence) / 2 from pairs join claims ca on ca.ord = a join claims cb on cb.ord = b
 union all select case when aspect in ('purchase', 'error') then 'schedule_slip' else 'requirements_change' end, grounded_node, cast(ord as varchar), 1, confidence from claims where superseded_by is not null or invalid_at is not null or expired_at is not null),
 risks as (select axis, src.node, ref, n, grounding, round(round(least(1.0, 0.5 * coalesce(percentile, 0.0) + 0.3 * least(n / 3.0, 1.0) + 0.2 * (1 - coalesce(grounding, 0.5))), 9), 3) as severity, coalesce(s.dst, '') as goals
-from src left join blast on blast.node = src.node left join pct using (radius) left join (select src, dst from kg_edges where etype = 'SERVES' and dst like 'kr-%' and not src like '%6') s on s.src = src.node)"""
+from src left join blast on blast.node = src.node left join pct using (radius) left join (select src, dst from kg_edges where etype = 'SERVES' and dst like 'kr-%' and expired_at is null) s on s.src = src.node)"""
 
 
 def _risks(c: Catalog) -> DataFrame:
     claims = C.normalise(c.kg_claims)
     radius = G.blast_radius(_members(c))
     reach = radius.join(G.midrank(radius, "radius"), "radius").select(F.col("node").alias("node_id"), "percentile")
-    goals = c.kg_edges.where("etype = 'SERVES' and dst like 'kr-%' and not src like '%6'").select(F.col("src").alias("node_id"), F.array("dst").alias("goals"))
+    goals = c.kg_edges.where("etype = 'SERVES' and dst like 'kr-%' and expired_at is null").select(F.col("src").alias("node_id"), F.array("dst").alias("goals"))
     gap_nodes = c.kg_nodes.where("node_type = 'system-component' and n_sources = 0")
     return I.risks(gap_nodes, C.contradictions(claims), claims, reach, goals, "purchase|error")
 
@@ -544,8 +546,8 @@ def _(c):
     return I.route(_risks(c)).groupBy("axis", "bucket").agg(F.count("*").alias("n"))
 
 
-@query("edge_writeback", f"""with f as (select case when etype = 'DELIVERS' then dst else src end as node_id, case etype when 'SERVES' then 'serves' when 'OWNS' then 'owner_ref' when 'DELIVERS' then 'delivered_by' else lower(etype) end as field, etype, case when etype = 'DELIVERS' then src else dst end as value from kg_edges)
-select node_id, field, case when field in ('serves', 'owner_ref') then max(value) else string_agg(distinct value, ',' order by value) end as "values" from f where node_id in (select node_id from kg_nodes) group by 1, 2""", "kg_nodes", "kg_edges")
+@query("edge_writeback", f"""with f as (select case when etype = 'DELIVERS' then dst else src end as node_id, case etype when 'SERVES' then 'serves' when 'OWNS' then 'owns_node' when 'DELIVERS' then 'delivered_by' else lower(etype) end as field, etype, case when etype = 'DELIVERS' then src else dst end as value from kg_edges)
+select node_id, field, case when field in ('serves', 'owns_node') then max(value) else string_agg(distinct value, ',' order by value) end as "values" from f where node_id in (select node_id from kg_nodes) group by 1, 2""", "kg_nodes", "kg_edges")
 def _(c):
     return Q.write_back(c.kg_edges, c.kg_nodes)
 
@@ -592,14 +594,45 @@ def _episodes(orders: DataFrame) -> DataFrame:
     return out.select("episode_id", "date", *[F.array_join(k, ",").alias(k) for k in ("participants", "nexus_refs", "jira_refs")])
 
 
-@query("episode_parse", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders where o_orderkey < 2000")
+@query("episode_parse", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders")
 def _(c):
-    return _episodes(c.orders.where("o_orderkey < 2000"))
+    return _episodes(c.orders)
+
 
+def _claim_notes(c: Catalog) -> DataFrame:
+    """Episode notes written out of events, a claim each."""
+    claim = "---\nnode_id: pulse-%s-e%s\nclaims:\n- subject: user-%s\n  aspect: %s\n  value: '%s'\n  aspect_kind: %s\n  grounded_node: cust-%s\n- no mapping\n- subject: nobody\n---\n"
+    text = F.format_string(claim, F.date_format("ts", "yyyy-MM-dd"), "event_id", "user_id", "event_type", F.round("value").cast("int"), F.when(F.col("event_type") == "purchase", "commitment").otherwise("bogus"), "user_id")
+    return c.events.select(F.col("event_id").alias("scan_ord"), F.concat(F.lit("NEXUS/pulse/e-"), "event_id", F.lit(".md")).alias("rel_path"), text.alias("text"))
 
-@query("episode_parse_all", "select concat('pulse-s-', o_orderkey) as episode_id, strftime(o_orderdate, '%Y-%m-%d') as date, concat('Ann Bee,Cy Dee ', o_orderkey) as participants, concat('cust-', o_custkey, ',feat-1') as nexus_refs, concat('JJ-', o_orderkey) as jira_refs from orders")
+
+@query("claims_from_notes", """with x as (select event_id, concat('pulse-', strftime(ts, '%Y-%m-%d'), '-e', event_id) as episode, concat('user-', user_id) as subject, event_type as aspect, cast(cast(round(value) as int) as varchar) as value, user_id, cast(ts as date) as d from events)
+select event_id * 1000000 as ord, concat('claim-', episode, '-', substring(sha1(concat_ws('|', subject, aspect, value, episode)), 1, 8)) as id, subject, aspect, value, 'neutral' as polarity, case when aspect = 'purchase' then 'commitment' else 'state' end as aspect_kind, 'text' as value_type, concat('cust-', user_id) as grounded_node, episode, d as valid_at from x""")
 def _(c):
-    return _episodes(c.orders)
+    claims = C.normalise(N.claims(N.parse(_claim_notes(c))))
+    return claims.select("ord", "id", "subject", "aspect", "value", "polarity", "aspect_kind", "value_type", "grounded_node", "episode", "valid_at")
+
+
+@query("lint_notes", """with n as (select c_custkey as k, concat('NEXUS/c-', c_custkey, '.md') as rel_path, lower(c_mktsegment) as nexus from customer)
+select 'ERROR' as severity, rel_path, 'missing-key' as rule, x as detail from n, unnest(['node_type', 'kind', 'owner', 'ttl_days', 'ripeness']) u(x)
+union all select 'ERROR', rel_path, 'unknown-nexus', upper(nexus) from n where nexus <> 'building'
+union all select 'ERROR', rel_path, 'dangling-edge', concat('serves kr-', c_nationkey) from n join customer on c_custkey = k
+union all select 'ERROR', rel_path, 'dangling-edge', concat('mentions ', x, k) from n, unnest(['PRJ-', 'a-']) u(x)""")
+def _(c):
+    return Q.lint_notes(N.parse(_notes(c)), c.spark.createDataFrame([("BUILDING",)], "slug string"), TODAY)
+
+
+@query("promote_edges", f"with {_QUEUE} select src, 'SERVES' as etype, dst, '0.5' as confidence from queue where status = 'approved' and src in (select node_id from kg_nodes) and dst in (select node_id from kg_nodes where node_type = 'key-result')", "kg_nodes")
+def _(c):
+    return Q.promoted_edges(_queue(c).withColumn("confidence", F.lit(None).cast("double")), c.kg_nodes)
+
+
+@query("minted_goals", "select concat('kr-', n_regionkey + 1, '-', n_nationkey) as node_id, 'key-result' as node_type, n_name as title from nation union all select distinct concat('obj-q-', n_regionkey + 1), 'objective', concat('Objective ', n_regionkey + 1) from nation")
+def _(c):
+    k = F.col("n_nationkey")
+    number = F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("."), k)
+    goals = c.nation.select(number.alias("goal"), F.col("n_name").alias("title"), (F.col("n_regionkey") + 1).cast("string").alias("objective"))
+    return D.minted_goals(goals, TODAY).select("node_id", "node_type", "title")
 
 
 @query("tumbling_claims", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

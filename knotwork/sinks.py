@@ -7,6 +7,9 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.functions import scalars as S
+
+# The order of the keys of a note.
 KEY_ORDER = ("nexus", "node_id", "node_type", "title", "kind", "owner", "confidence", "sources", "updated", "ttl_days", "ripeness")
 
 
@@ -15,15 +18,27 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
 
 
-def write_risks(risks: DataFrame, path: str, drop_first: bool = True) -> None:
-    """Risks by source: a source's rows are replaced, or only missing ids are added."""
-    out = risks.withColumn("goals", F.array_join("goals", " | ")).withColumn("id", F.sha1(F.concat_ws("|", "axis", "node", "ref")))
+def write_risks(risks: DataFrame, path: str, drop_first: bool = True, sources: tuple[str, ...] = ()) -> None:
+    """Risks by source: a source's rows are replaced (those of the sources named, by default of the rows), or only missing ids are added."""
     spark = risks.sparkSession
+    out = risks
+    if "id" not in out.columns:
+        evidence = F.col("evidence") if "evidence" in out.columns else F.array("ref")
+        out = out.withColumn("id", S.risk_id("axis", evidence, "goals"))
+    out = out.withColumn("goals", F.array_join("goals", " | ")).dropDuplicates(["source", "id"])
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
     if drop_first:
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+        # An empty set replaces the rows of its source too: the sources are named by the caller.
+        gone = sources or [r["source"] for r in out.select("source").distinct().toLocalIterator()]
+        for name in gone:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/source={name}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        out.write.mode("append").partitionBy("source").parquet(path)
         return
-    known = spark.read.schema(out.schema).parquet(path).select("id")
-    out.join(known, "id", "left_anti").write.mode("append").partitionBy("source").parquet(path)
+    if there:
+        out = out.join(spark.read.schema(out.schema).parquet(path).select("id", "source"), ["id", "source"], "left_anti")
+    out.write.mode("append").partitionBy("source").parquet(path)
 
 
 def render_note(fields: dict, footer: str = "") -> str:
@@ -51,23 +66,75 @@ def upsert_field(text: str, key: str, value) -> str:
 
 
 def write_notes(notes: DataFrame, folder: str) -> int:
-    """Writes (node_id, text) as files where there is none; the folder is shared by all tasks. Returns how many."""
+    """Writes (node_id, text) as files where there is none; the folder is shared by all tasks. Returns how many.
+
+    A file is written under a name of the attempt and then linked to its own, which fails if that is
+    there: no reader sees half a file, and a task that runs again changes nothing.
+    """
 
     def run(batches):
+        import uuid
+
         import pyarrow as pa
 
         for batch in batches:
-            done = []
+            done = 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 path = os.path.join(folder, f"{node}.md")
-                if not os.path.exists(path):
-                    with open(path, "w", encoding="utf-8") as f:
-                        f.write(text)
-                    done.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["node_id"])
+                own = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(own, "w", encoding="utf-8") as f:
+                    f.write(text)
+                try:
+                    os.link(own, path)
+                    done += 1
+                except FileExistsError:
+                    pass
+                os.unlink(own)
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
     os.makedirs(folder, exist_ok=True)
-    return len(notes.select("node_id", "text").mapInArrow(run, "node_id string").collect())
+    return notes.select("node_id", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _write_yaml(data, path: str) -> None:
+    import yaml
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(data, f, allow_unicode=True, sort_keys=False)
+
+
+def write_queue(queue: DataFrame, path: str) -> None:
+    """A review queue, for people to read, by src."""
+    _write_yaml([r.asDict() for r in queue.orderBy("src").toLocalIterator()], path)
+
+
+def write_risk_queue(routed: DataFrame, path: str) -> None:
+    """Risks that people have to look at, by bucket; verified ones are left out."""
+    buckets = {k: [r.asDict(recursive=True) for r in routed.where(F.col("bucket") == k).drop("bucket").toLocalIterator()] for k in ("review", "unlinkable")}
+    _write_yaml(buckets, path)
+
+
+def write_gate(gate: DataFrame, path: str, today: str) -> dict:
+    """The state of the gate as YAML; returns it."""
+    row = gate.first()
+    state = {"ready": row["passed"], "ripeness_min": row["ripeness_min"], "reasons": [x for x in row["reasons"].split(",") if x], "checked": today}
+    _write_yaml(state, path)
+    return state
+
+
+def register_nexus(path: str, slug: str, name: str, purpose: str, owner: str = "") -> bool:
+    """Adds a nexus to a registry file that lacks it; returns whether it did."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        data = yaml.safe_load(f) or {}
+    known = data.setdefault("nexus_types", [])
+    if any(isinstance(x, dict) and x.get("slug") == slug for x in known):
+        return False
+    known.append({"slug": slug, "source": "custom", "owner": owner, "onboarded": "partial", "name": name, "purpose": purpose})
+    _write_yaml(data, path)
+    return True
 
 
 def report(counts: dict[str, int], ripeness: list[tuple[str, float]], queue: list[str], threshold: float = 0.6, head: int = 50) -> str:

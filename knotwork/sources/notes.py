@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The keys of episode summaries. Other vaults pass their own names.
+# The keys of episode summaries (other vaults pass their own names), and the patterns of a block, of links and of tickets.
 EPISODE_KEYS = {"date": "дата", "source": "источник", "participants": "участники", "links": "nexus_links"}
 FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\s*(?:\r?\n|\z)(.*)"
 
@@ -87,10 +87,10 @@ def nodes(parsed: DataFrame) -> DataFrame:
     rows = parsed.where(F.nullif(f("node_id"), F.lit("")).isNotNull())
     out = rows.select(
         "scan_ord", "rel_path",
-        f("node_id").alias("node_id"), f("node_type").alias("node_type"), f("nexus").alias("nexus"), f("title").alias("title"), f("owner").alias("owner"),
+        f("node_id").alias("node_id"), f("node_type").alias("node_type"), f("nexus").alias("nexus"), f("title").alias("title"), f("full_name").alias("full_name"), f("kind").alias("kind"), f("owner").alias("owner"), f("reports_to").alias("reports_to"),
         f("confidence").try_cast("double").alias("confidence"), F.try_to_date(F.substring(f("updated"), 1, 10), "yyyy-MM-dd").alias("updated"),
         f("ttl_days").try_cast("int").alias("ttl_days"), F.size(as_list("sources")).alias("n_sources"), f("ripeness").alias("ripeness"),
-        *[as_list(k).alias(k) for k in ("serves", "delivered_by", "mentions", "involves", "realizes", "based_on", "depends_on", "addresses", "satisfies", "has_need")],
+        *[as_list(k).alias(k) for k in ("serves", "delivered_by", "mentions", "involves", "realizes", "based_on", "depends_on", "addresses", "satisfies", "has_need", "manages")],
     )
     w = Window.partitionBy("node_id").orderBy(F.col("scan_ord").desc())
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
@@ -114,6 +114,31 @@ def goal_table(lines: DataFrame) -> DataFrame:
     return rows.select(number.alias("goal"), F.get("c", F.lit(1)).alias("title"), F.nullif(epic, F.lit("")).alias("epic"), F.split_part(number, F.lit("."), F.lit(1)).alias("objective"))
 
 
+CLAIM = "struct<subject:string,aspect:string,value:string,polarity:string,speaker:string,speaker_role:string,aspect_kind:string,value_type:string,value_norm:string,grounded_node:string,confidence:double,invalid_at:string,expired_at:string,superseded_by:string>"
+
+
+def claims(parsed: DataFrame, folder: str = "pulse/") -> DataFrame:
+    """Claims of notes below a folder, one row each, as `operators.claims.normalise` takes them.
+
+    ord follows the notes' order and the place in the note; valid_at is the date in the episode's id.
+    Entries that are no mapping are left out.
+    """
+    from knotwork.functions import scalars as S
+
+    f = lambda k: F.try_element_at("fields", F.lit(k))
+    rows = parsed.where((F.col("rel_path").startswith(folder) | F.col("rel_path").contains("/" + folder)) & F.nullif(f("node_id"), F.lit("")).isNotNull() & f("claims").startswith("["))
+    flat = rows.select("scan_ord", f("node_id").alias("episode"), F.posexplode(F.from_json(f("claims"), "array<string>")).alias("place", "raw")).where(F.col("raw").startswith("{"))
+    flat = flat.select("scan_ord", "episode", "place", F.from_json("raw", CLAIM).alias("c")).where("c is not null")
+    day = lambda c: S.as_date(F.substring(F.col(c), 1, 10))
+    kept = ["subject", "aspect", "value", "polarity", "speaker", "speaker_role", "aspect_kind", "value_type", "value_norm", "grounded_node", "confidence", "superseded_by"]
+    return flat.select((F.col("scan_ord") * 1_000_000 + F.col("place")).alias("ord"), "episode", *[F.col(f"c.{k}").alias(k) for k in kept], S.as_date(S.episode_date("episode")).alias("valid_at"), day("c.invalid_at").alias("invalid_at"), day("c.expired_at").alias("expired_at"))
+
+
+def claims_of(parsed: DataFrame) -> DataFrame:
+    """Claims of a vault, wherever its notes lie."""
+    return claims(parsed, "")
+
+
 def wikilinks(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x)))
 

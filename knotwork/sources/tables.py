@@ -22,16 +22,16 @@ DIALECT = {
 VIEWS = {
     "kg_nodes": """
         select concat('obj-', r_regionkey) as node_id, 'objective' as node_type, 'okr' as nexus, r_name as title, 'Supplier 1' as owner,
-               cast(0.4 as {double}) as confidence, cast('2001-05-01' as date) as updated, 90 as ttl_days, 1 as n_sources from region
+               cast(0.4 as {double}) as confidence, cast('2001-05-01' as date) as updated, 90 as ttl_days, 1 as n_sources, 'normative' as kind, 'fresh' as ripeness, cast(null as {str}) as reports_to from region
         union all select concat('kr-', n_nationkey), 'key-result', 'okr', n_name, case when n_nationkey % 7 = 3 then '' else concat('team-supp-', n_nationkey) end,
-               0.4, cast('2001-06-15' as date), 90, 1 from nation
-        union all select concat('cust-', c_custkey), 'system-component', lower(c_mktsegment), c_name, concat('Supp ', c_custkey % 300),
+               0.4, cast('2001-06-15' as date), 90, 1, 'empirical', 'fresh', null from nation
+        union all select concat('cust-', c_custkey), 'system-component', case when c_mktsegment = 'MACHINERY' then 'system' else lower(c_mktsegment) end, c_name, concat('Supp ', c_custkey % 300),
                case when c_custkey % 10 = 0 then null else (c_custkey % 10) / cast(10 as {double}) end,
-               cast('2001-08-15' as date) - cast(c_custkey % 200 as int), cast(30 + c_custkey % 5 * 30 as int), cast(c_custkey % 11 as int) from customer
-        union all select concat('team-supp-', s_suppkey), 'person', 'team', s_name, null, 0.9, cast('2001-07-01' as date), 180, 1 from supplier
+               cast('2001-08-15' as date) - cast(c_custkey % 200 as int), cast(30 + c_custkey % 5 * 30 as int), cast(c_custkey % 11 as int), case when c_custkey % 13 > 0 then 'empirical' end, case when c_custkey % 8 > 0 then 'fresh' else '' end, null from customer
+        union all select concat('team-supp-', s_suppkey), 'person', 'team', s_name, null, 0.9, cast('2001-07-01' as date), 180, 1, 'empirical', 'fresh', case when s_suppkey % 3 > 0 then 'team-supp-1' end from supplier
         union all select concat('feat-', p_partkey), 'feature', 'product', p_name, concat(p_partkey % 150, ' supp'),
-               (p_partkey % 10) / cast(10 as {double}), cast('2001-08-31' as date) - p_size, 60, cast(p_partkey % 7 as int) from part
-        union all select concat('pulse-', {ymd_o}, '-', o_orderkey), 'episode', 'pulse', concat('Order ', o_orderkey), null, 0.5, cast(o_orderdate as date), 90, 1 from orders
+               (p_partkey % 10) / cast(10 as {double}), cast('2001-08-31' as date) - p_size, 60, cast(p_partkey % 7 as int), 'empirical', 'ripening', null from part
+        union all select concat('pulse-', {ymd_o}, '-', o_orderkey), 'episode', 'pulse', concat('Order ', o_orderkey), null, 0.5, cast(o_orderdate as date), 90, 1, 'empirical', 'wilting', null from orders
     """,
     "kg_edges": """
         select concat('kr-', n_nationkey) as src, concat('obj-', n_regionkey) as dst, 'SERVES' as etype, 'high' as confidence,
@@ -57,7 +57,7 @@ VIEWS = {
     """,
     "kg_episodes": """
         select concat('pulse-', {ymd_o}, '-', o_orderkey) as episode_id, cast(o_orderdate as date) as date,
-               concat('cust-', o_custkey * 2) as nexus_ref, concat('PRJ-', o_orderkey % 50) as jira_ref,
+               case when o_orderkey % 9 = 0 then concat({ymd_o}, '-', o_orderkey) else concat('cust-', o_custkey * 2) end as nexus_ref, concat('PRJ-', o_orderkey % 50) as jira_ref,
                concat(case when o_orderkey % 2 = 0 then concat('Supp ', o_orderkey % 130) else concat(o_orderkey % 130, ' supp') end, ' (guest)') as participant from orders
     """,
     "kg_refs": """
