@@ -47,23 +47,23 @@ def test_query(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["seed", "episode", "score"]
+    assert entry.entry(spark).columns == ["seed", "episode", "score", "chain"]
     assert set(plans.SQL) <= set(entry.queries())
 
 
-def test_episode_parse_all_takes_every_order(spark, tmp_path):
+def test_episode_parse_takes_every_order(spark, tmp_path):
     import datetime as dt
 
     rows = [(k, 7, dt.datetime(1999, 1, 2)) for k in (1, 1999, 2000, 150000)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
-    df = plans.QUERIES["episode_parse_all"](spark, str(tmp_path))
-    rel = duckdb.sql(plans.SQL["episode_parse_all"].replace("from orders", f"from '{tmp_path}/orders.parquet/*.parquet'"))
+    df = plans.QUERIES["episode_parse"](spark, str(tmp_path))
+    rel = duckdb.sql(plans.SQL["episode_parse"].replace("from orders", f"from '{tmp_path}/orders.parquet/*.parquet'"))
     got = canonical([tuple(r) for r in df.collect()], df.columns)
     assert len(got) == 4 and got == canonical(rel.fetchall(), rel.columns)
 
 
 def test_every_50th_vector_is_searched(spark):
-    got = plans.QUERIES["knn_every_50th"](spark, SF)
+    got = plans.QUERIES["knn_seeds"](spark, SF)
     want = [r[0] for r in duckdb.sql(f"select vec_id from '{SF}/embeddings.parquet' where vec_id % 50 = 0 order by 1").fetchall()]
     assert len(want) > 1 and sorted(r["query"] for r in got.collect()) == sorted(want * 8)
 
@@ -86,7 +86,7 @@ def test_whole_graph_queries(spark):
         new = near.get(stack.pop(), set()) - seen
         seen |= new
         stack += new
-    got = {r["node_id"]: r["reached"] for r in plans.QUERIES["reachability_whole"](spark, SF).collect()}
-    assert got == {n: n in seen for n, t in types.items() if t != "episode"}
+    got = {r["node_id"]: r["reached"] for r in plans.QUERIES["reachability_from_kr"](spark, SF).collect()}
+    assert got == {n: n in seen for n in types}
     communities = {r["node"] for r in plans.QUERIES["communities_lpa"](spark, SF).collect()}
     assert communities == {x for a, b, _ in edges if a != b for x in (a, b)} and any(n.startswith("feat-") for n in communities)
