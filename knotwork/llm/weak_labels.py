@@ -112,7 +112,7 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
         start[k, list(own)] = 0.3
     # A little prior mass keeps rates away from 0 and 1; more of it says that labellers seldom fire on good documents.
     prior = np.ones((1 + len(kinds), 1))
-    prior[0] += weight.sum() / 2
+    prior[0] += weight.sum() / 10
     rates, shares = start, np.array([1 - 0.1, *[0.1 / len(kinds)] * len(kinds)])
     for _ in range(rounds):
         w = weight[:, None] * _posterior(fired, shares, rates)
