@@ -363,11 +363,12 @@ def test_expectation_maximisation_finds_rates():
 
 
 def test_expectation_maximisation_of_two_kinds_of_bad_documents():
+    # Three labellers of each kind: two alone would leave a kind's share and rates open.
     rng = np.random.default_rng(0)
     kind = rng.choice(3, 30000, p=[0.75, 0.15, 0.1])
-    rate = np.array([[0.01] * 5, [0.8, 0.7, 0.6, 0.01, 0.01], [0.01, 0.01, 0.01, 0.9, 0.9]])
-    counts = Counter(((rng.random((30000, 5)) < rate[kind]) @ [1, 2, 4, 8, 16]).tolist())
-    shares, rates = weak_labels.expectation_maximisation(counts, 5, kinds=(range(3), (3, 4)))
+    rate = np.array([[0.01] * 6, [0.8, 0.7, 0.6, 0.01, 0.01, 0.01], [0.01, 0.01, 0.01, 0.9, 0.8, 0.7]])
+    counts = Counter(((rng.random((30000, 6)) < rate[kind]) @ [1, 2, 4, 8, 16, 32]).tolist())
+    shares, rates = weak_labels.expectation_maximisation(counts, 6, kinds=(range(3), range(3, 6)))
     assert np.abs(shares - [0.75, 0.15, 0.1]).max() < 0.02 and np.abs(rates - rate).max() < 0.05
 
 
