@@ -93,6 +93,14 @@ def test_pagerank_sums_to_one_and_stays_in_its_component(spark):
     assert abs(sum(r["score"] for r in got) - 1) < 1e-9 and {r["node"] for r in got} == {"kr-1", "a", "pulse-1"}
 
 
+def test_no_episode_gives_no_replica(spark):
+    edges = spark.createDataFrame([("kr-1", "a", "SERVES"), ("q", "pulse-2", "MENTIONS")], EDGES)
+    seeds = spark.createDataFrame([("kr-1", "kr-1", 1.0), ("kr-9", "kr-9", 1.0)], "seed string, node string, weight double")
+    assert V.replicas(edges, seeds, 3).collect() == []
+    reached = G.hops(edges, spark.createDataFrame([("kr-1",)], "node string"))
+    assert G.chains(reached, spark.createDataFrame([("kr-1", "pulse-2")], "seed string, node string")).collect() == []
+
+
 def test_weighted_seeds_without_similarity(spark):
     assert V.weighted(spark.createDataFrame([("s", "n", 0.0)], "seed string, node string, similarity double")).count() == 0
 
