@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork import vocab
 from knotwork.functions import scalars as S
+from knotwork.operators import graph
 
 
 def context_ripeness(nodes: DataFrame, today: str) -> DataFrame:
@@ -182,8 +183,9 @@ def lint_notes(parsed: DataFrame, registry: DataFrame, today: str) -> DataFrame:
     """(severity, rel_path, rule, detail) of every issue of parsed notes (rel_path, fields, status).
 
     registry: slug; without rows any nexus will do. Notes without a block are no nodes; of notes that
-    share an id the first by path has it. Lists come as JSON.
+    share an id the first by path has it. Lists come as JSON. Notes are parsed once: they are kept.
     """
+    parsed = graph.kept(parsed.select("rel_path", "fields", "status"))
     f = lambda k: F.try_element_at("fields", F.lit(k))
     as_list = lambda k: F.when(f(k).startswith("["), F.from_json(f(k), "array<string>")).when(f(k).isNotNull(), F.array(f(k)))
     stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.md$", "")

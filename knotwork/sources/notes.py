@@ -47,9 +47,30 @@ def body(text: Column) -> Column:
     return F.when(text.rlike(FRONT), F.regexp_extract(text, FRONT, 2)).otherwise(text)
 
 
+def loader():
+    """A function that reads a YAML block: by libyaml where it is there; what that refuses or may read otherwise is left to the loader in Python."""
+    odd = re.compile("[?\\t\\x85\\u2028\\u2029\\ufeff]")
+
+    # A function of its own here, as tasks may lack this package.
+    def load(block: str):
+        import yaml
+
+        if yaml.__with_libyaml__ and not odd.search(block):
+            try:
+                return yaml.load(block, yaml.CSafeLoader)
+            except (yaml.YAMLError, ValueError):
+                pass
+        return yaml.safe_load(block)
+
+    return load
+
+
 def parse(notes: DataFrame) -> DataFrame:
-    """Adds fields (a map of strings, lists as JSON), body and status (ok, none, error) to (.., text)."""
-    columns, place = notes.columns, notes.columns.index("text")
+    """Adds fields (a map of strings, lists as JSON), body and status (ok, none, error) to (.., text).
+
+    Notes are dealt over all cores first: a small file holds many of them, and each costs Python time.
+    """
+    columns, place, load = notes.columns, notes.columns.index("text"), loader()
 
     def run(batches):
         import json
@@ -64,7 +85,7 @@ def parse(notes: DataFrame) -> DataFrame:
                 value, kind, rest = {}, "none", text or ""
                 if m:
                     try:
-                        loaded = yaml.safe_load(m[1])
+                        loaded = load(m[1])
                         value, kind, rest = (loaded, "ok", m[2]) if isinstance(loaded, dict) else ({}, "error", text)
                     except yaml.YAMLError:
                         kind = "error"
@@ -75,7 +96,8 @@ def parse(notes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "fields", "body", "status"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in notes.dtypes)
-    return notes.mapInArrow(run, f"{kinds}, fields map<string,string>, body string, status string").select(*columns, "fields", "body", "status")
+    dealt = notes.repartition(4 * notes.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"{kinds}, fields map<string,string>, body string, status string").select(*columns, "fields", "body", "status")
 
 
 def nodes(parsed: DataFrame) -> DataFrame:

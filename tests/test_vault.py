@@ -49,6 +49,27 @@ def test_linter(spark):
     assert free.count() == 0 and Q.lint_failed(free).first()["exit_code"] == 0
 
 
+def test_linter_parses_once_on_all_cores(spark):
+    rows = spark.createDataFrame([(k, f"{k}.md", note(f"n{k}", "serves: n0\n")) for k in range(40)], "scan_ord long, rel_path string, text string")
+    made = N.parse(rows.coalesce(1))
+    assert len({r[0] for r in made.select(F.spark_partition_id()).collect()}) > 1
+    issues = Q.lint_notes(made, spark.createDataFrame([("okr",)], "slug string"), "2024-01-20")
+    assert issues.count() == 0 and "MapInArrow" not in issues._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_read_alike_by_both_loaders():
+    import yaml
+
+    for block in ("a: [x, 1, 2024-01-01]\nb: {c: 'd'}", "a: \u2028b", "- x\n- y: ~", "a:\tb", "[a, b? c]", "{it's? }", "a: yes\na: 0x1F"):
+        try:
+            want = yaml.safe_load(block)
+        except yaml.YAMLError:
+            with pytest.raises(yaml.YAMLError):
+                N.loader()(block)
+        else:
+            assert N.loader()(block) == want
+
+
 def test_claims_of_notes(spark):
     text = "---\nnode_id: pulse-2024-02-03-x\nclaims:\n- {subject: s, aspect: date, value: 5, aspect_kind: commitment, invalid_at: 2024-01-01, expired_at: 2024-01-02}\n- text\n- {subject: s, aspect: ''}\n---\n"
     rows = C.normalise(N.claims(parsed(spark, {"NEXUS/pulse/x.md": text, "NEXUS/okr/y.md": text.replace("pulse-2024", "other-2024")}))).collect()
