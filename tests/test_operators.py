@@ -93,6 +93,41 @@ def test_pagerank_sums_to_one_and_stays_in_its_component(spark):
     assert abs(sum(r["score"] for r in got) - 1) < 1e-9 and {r["node"] for r in got} == {"kr-1", "a", "pulse-1"}
 
 
+def spied(monkeypatch):
+    """What graph.kept writes from now on: column types and rows of each table."""
+    held, real = [], G.kept
+
+    def kept(df):
+        out = real(df)
+        held.append((dict(out.dtypes), out.count()))
+        return out
+
+    monkeypatch.setattr(G, "kept", kept)
+    return held
+
+
+def test_pagerank_of_many_seeds_holds_a_row_a_node(spark, monkeypatch):
+    monkeypatch.setattr(G, "WIDTH", 4)
+    held = spied(monkeypatch)
+    pairs = [(k, (k * 7 + 3) % 12) for k in range(12)] + [(0, k) for k in range(1, 12)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", "SERVES") for a, b in pairs] + [("n1", None, "SERVES")], EDGES)
+    seeds = [(f"s{k}", f"n{j}", 0.5) for k in range(7) for j in (k, k + 2)] + [("gone", "nowhere", 1.0)]
+    got = {(r["seed"], r["node"]): r["score"] for r in G.pagerank(edges, spark.createDataFrame(seeds, "seed string, node string, weight double"), 100, 0.85, 1e-3).collect()}
+    near = {n: {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n} for n in range(12)}
+    near = {n: x - {n} for n, x in near.items()}
+    start = {(s, int(n[1:])): w for s, n, w in seeds if n != "nowhere"}
+    now, change = start, 1.0
+    while change >= 12 * 1e-3:
+        new = {k: 0.15 * w for k, w in start.items()}
+        for (s, n), p in now.items():
+            for m in near[n]:
+                new[s, m] = new.get((s, m), 0.0) + 0.85 * p / len(near[n])
+        now, change = new, sum(abs(p - now.get(k, 0.0)) for k, p in new.items())
+    assert got.keys() == {(s, f"n{n}") for s, n in now} and all(abs(got[s, f"n{n}"] - p) < 1e-9 for (s, n), p in now.items())
+    # Two blocks of seeds: no state of a round has a row for each seed and node.
+    assert max(n for types, n in held if "node" in types) <= 2 * 12 < 7 * 12
+
+
 def test_no_episode_gives_no_replica(spark):
     edges = spark.createDataFrame([("kr-1", "a", "SERVES"), ("q", "pulse-2", "MENTIONS")], EDGES)
     seeds = spark.createDataFrame([("kr-1", "kr-1", 1.0), ("kr-9", "kr-9", 1.0)], "seed string, node string, weight double")
