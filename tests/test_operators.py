@@ -80,6 +80,26 @@ def test_communities_are_triangles(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
 
 
+def test_communities_by_number_are_those_by_name(spark, monkeypatch):
+    held = spied(monkeypatch)
+    pairs = [(k, (k * k + 5) % 40) for k in range(40)] + [(k, k + 1) for k in range(0, 39, 3)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", "SERVES") for a, b in pairs] + [("n1", None, "SERVES"), ("x", "x", "SERVES")], EDGES)
+    got = {r["node"]: r["community"] for r in G.label_propagation(edges).collect()}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(f"n{a}", set()).add(f"n{b}")
+            near.setdefault(f"n{b}", set()).add(f"n{a}")
+    labels, seen = {n: n for n in near}, []
+    while labels not in seen:
+        seen.append(labels)
+        votes = {n: [labels[n], *(labels[m] for m in near[n])] for n in near}
+        labels = {n: min(set(v), key=lambda x: (-v.count(x), x)) for n, v in votes.items()}
+    least = {x: min(n for n in labels if labels[n] == x) for x in labels.values()}
+    assert got == {n: least[x] for n, x in labels.items()}
+    assert all(t == "bigint" for types, _ in held if "label" in types for t in types.values())
+
+
 def test_components_of_a_path_and_loops(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", "SERVES") for i in range(20)] + [("z", "z", "SERVES")], EDGES)
     got = {r["node"]: r["component"] for r in G.components(edges).collect()}
