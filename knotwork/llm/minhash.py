@@ -1,14 +1,12 @@
 """Classes of texts by the exact Jaccard similarity of their word shingles.
 
-Candidates come from MinHash: `BANDS` keys of `ROWS` minima each. Two sets of similarity s share a key
-with probability 1 - (1 - s ** ROWS) ** BANDS, so a pair at 0.8 is missed with probability below 1e-5
-and closer ones by far less often. Every candidate is verified on its whole set, so nothing below the
-similarity links.
-
-Sets are made distinct first, so copies cost nothing, and only those that share a key with another are
-read again. A bucket is dealt into parts by hash and each pair of parts is one cell, a task's unit of
-bounded size; every pair of the bucket meets in a cell. A cell gives a star for each of its components
-rather than pairs.
+Candidates come from elsewhere (`simhash.similar_classes`), as groups of sets of which any two may be
+similar; the module still has the name of the MinHash that found them once. Every pair of a group is
+verified on its whole sets, so nothing below the similarity links.
+
+Only sets that have a candidate are read again. A group is dealt into parts by hash and each pair of
+parts is one cell, a task's unit of bounded size; every pair of the group meets in a cell. A cell gives
+a star for each of its components rather than pairs.
 """
 
 from __future__ import annotations
@@ -18,18 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm import store
-from knotwork.llm.components import components
 
 SIMILARITY = 0.8
-BANDS, ROWS = 30, 5
-#: Sets and shingles of one part of a bucket, about.
+#: Sets and shingles of one part of a group, about.
 PART_SETS, PART_SHINGLES = 512, 1 << 20
-#: Shingles hashed at a time of one text, and permuted at a time.
-STEP, BLOCK = 1 << 15, 1 << 10
-
-_random = np.random.default_rng(42)
-FACTORS = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-TERMS = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2)
+#: Shingles hashed at a time of one text.
+STEP = 1 << 15
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -53,19 +45,7 @@ def name_of(shingles: np.ndarray) -> int:
     return xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key of each band, unlike those of other bands; none for an empty set."""
-    from xxhash import xxh64_intdigest
-
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), BLOCK):
-        np.minimum(least, (FACTORS * shingles[None, k : k + BLOCK] + TERMS).min(axis=1), out=least)
-    return [xxh64_intdigest(rows.tobytes(), band) for band, rows in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def _signed(values: list[int]) -> np.ndarray:
+def as_longs(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
@@ -128,27 +108,16 @@ def _cell_links(similarity: float):
     return run
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
 
 
-def similar_classes(df: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
-    """id, row_hash and class of every row: the components of "word shingles agree by `similarity` or more".
+def verified_links(df: DataFrame, sets: DataFrame, words: int, similarity: float, id_col: str, text_col: str, scope: str = "") -> DataFrame:
+    """Links (a, b) whose components are those of "shingles agree by `similarity` or more" within groups.
 
-    The similarity is the Jaccard one of the sets of shingles. Texts of no words link with each other.
+    `sets`: fp, the name of a set; size, its shingles; row, the id and row_hash of a text that has it;
+    group, the candidates that it is one of. A set is in one group.
     """
-    store.bounded_batches(df.sparkSession)
-
-    def prints_of(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
-            keys = [band_keys(s) for s in sets]
-            edges = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            own = [pa.array(_signed([name_of(s) for s in sets])), pa.array([len(s) for s in sets], pa.int64())]
-            own.append(pa.ListArray.from_arrays(edges, pa.array(_signed([k for ks in keys for k in ks]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "row_hash", "fp", "size", "keys"])
 
     def sets_of(batches):
         import pyarrow as pa
@@ -156,32 +125,20 @@ def similar_classes(df: DataFrame, words: int = 5, similarity: float = SIMILARIT
         for batch in batches:
             for text in batch.column(0):
                 s = shingle_set(text.as_py(), words)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed([name_of(s)])), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["fp", "sh"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    prints = _rows(df, id_col, text_col).mapInArrow(prints_of, f"id {kind}, row_hash long, fp long, size long, keys array<long>")
-    prints = store.written(prints, "minhash-prints", scope)
-    distinct = prints.groupBy("fp").agg(F.min(F.struct("id", "row_hash")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    distinct = store.written(distinct, "minhash-distinct", scope)
-
-    # Buckets of two or more; those that hold the same sets are one.
-    entries = distinct.select("fp", "size", F.explode("keys").alias("key"))
-    same = [F.count("*").alias("n"), F.sum("size").alias("total"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("all")]
-    buckets = entries.groupBy("key").agg(*same).where("n > 1").dropDuplicates(["n", "lo", "hi", "all"])
+                yield pa.RecordBatch.from_arrays([pa.array(as_longs([name_of(s)])), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["fp", "sh"])
+
+    groups = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / PART_SETS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int").alias("parts")
-    buckets = store.written(buckets.select("key", parts), "minhash-buckets", scope)
-    members = store.written(entries.join(buckets, "key").select("key", "fp", "parts"), "minhash-members", scope)
+    members = store.written(sets.join(groups.select("group", parts), "group").select("group", "fp", "row", "parts"), "similar-members", scope)
 
     # The sets of those that have a candidate, from one of their texts.
-    wanted = distinct.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("row.id").alias("i"), F.col("row.row_hash").alias("r"))
-    texts = _rows(df, id_col, text_col).join(wanted, F.expr("id <=> i and row_hash = r"), "left_semi").dropDuplicates(["id", "row_hash"])
-    sets = store.written(texts.select("text").mapInArrow(sets_of, "fp long, sh array<long>"), "minhash-sets", scope)
+    wanted = members.select(F.col("row.id").alias("i"), F.col("row.row_hash").alias("r"))
+    texts = rows_of(df, id_col, text_col).join(wanted, F.expr("id <=> i and row_hash = r"), "left_semi").dropDuplicates(["id", "row_hash"])
+    whole = store.written(texts.select("text").mapInArrow(sets_of, "fp long, sh array<long>"), "similar-sets", scope)
 
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("part")) | (F.col("parts") == 1))
-    cells = members.withColumn("part", part).select("key", "fp", "part", F.explode(others).alias("other"))
-    cells = cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp").join(sets, "fp")
+    cells = members.withColumn("part", part).select("group", "fp", "part", F.explode(others).alias("other"))
+    cells = cells.select(F.col("group").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp").join(whole, "fp")
     cells = cells.select("key", "i", "j", "fp", "sh").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    links = cells.mapInArrow(_cell_links(similarity), "a long, b long")
-    roots = components(links, scope).withColumnsRenamed({"node": "fp", "root": "class"})
-    return prints.join(roots, "fp", "left").select(F.col("id").alias(id_col), "row_hash", F.coalesce("class", "fp").alias("class"))
+    return cells.mapInArrow(_cell_links(similarity), "a long, b long")

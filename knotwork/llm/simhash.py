@@ -9,23 +9,41 @@ Fingerprints are made distinct first, so copies cost nothing. A bucket of more t
 fingerprints is dealt out further by the same guarantee on its free bits: of `radius + 1` blocks of
 them one is free of differences. As the fingerprints of a bucket are distinct, few free bits are few
 members. Buckets give a star for each of their components rather than pairs.
+
+Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about a seventh of the bits, too
+many for such a code. `similar_classes` finds them by banding: a longer SimHash, whose bits are signs of
+sums of weights that a shingle's hash gives (so that small sets have their angle too), is cut into bands
+of bits, and texts that share a band are compared by a print of `PRINT` further bits. Two sets of
+similarity s have a cosine of 2 s / (1 + s) or more and differ in a bit with probability acos(cosine) /
+pi at most; the number of bands follows from that and from the share `LOSS` that may be missed, the
+radius of the prints from a thousandth of it and ten. What is found is verified on whole sets.
 """
 
 from __future__ import annotations
 
+from math import acos, ceil, comb, log, log1p, pi
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm import store
+from knotwork.llm import minhash, store
 from knotwork.llm.components import components
-from knotwork.llm.minhash import SIMILARITY, similar_classes
+from knotwork.llm.minhash import SIMILARITY
 
 BITS = 64
 #: Distinct fingerprints that one task compares at once.
 BUCKET = 4096
 #: Shingles hashed at a time of one text.
 STEP = 1 << 15
+#: Bits that candidates are compared by; the least bits of a band; the share of pairs just at the similarity that bands may miss.
+PRINT, BAND, LOSS = 192, 16, 1e-5
+#: Texts that share a band by chance, at most, before bands get another bit.
+BY_CHANCE = 128
+#: Shingles weighed at a time, and the weights that one hash gives.
+BLOCK, WEIGHTS = 64, 16
+#: Members of a bucket that are compared in step with other buckets'; rows read at a time.
+SMALL, ROWS = 64, 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -176,6 +194,196 @@ def near_duplicates(df: DataFrame, radius: int = 3, words: int = 3, seed: int =
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id")
 
 
+def radius_of(differ: float, bits: int, loss: float) -> int:
+    """The least radius that a pair exceeds with probability `loss` at most, if its bits differ with probability `differ`."""
+    beyond, radius = 1.0, -1
+    while beyond > loss and radius < bits:
+        radius += 1
+        beyond = sum(comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(radius + 1, bits + 1))
+    return radius
+
+
+def banding(similarity: float, n: int) -> tuple[int, int, int]:
+    """Bits of a band, bands, and the radius of prints, for n sets: see above."""
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    bits = max(BAND, (n // BY_CHANCE).bit_length())
+    agree = (1 - differ) ** bits
+    bands = ceil(log(LOSS) / log1p(-agree)) if agree < 1 else 1
+    return bits, bands, radius_of(differ, PRINT, LOSS / 10)
+
+
+def _hashing(words: int):
+    """Factors and terms that make `words` hashes of one."""
+    random = np.random.default_rng(42)
+    factors, terms = random.integers(0, 1 << 63, (2, words), dtype=np.uint64) * np.uint64(2)
+    return factors + np.uint64(1), terms
+
+
+def set_bits(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """SimHash bits of a set of hashed shingles: is the sum of weights -15, -13 to 15 positive? `WEIGHTS` of them by each factor."""
+    nibbles = np.uint64(0x000F000F000F000F)
+    sums = np.zeros((4, len(factors) * 4), dtype=np.int64)
+    for k in range(0, len(shingles), BLOCK):
+        z = shingles[k : k + BLOCK, None] * factors
+        z += terms
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0x9E3779B97F4A7C15)
+        z ^= z >> np.uint64(29)
+        for i in range(4):
+            sums[i] += ((z >> np.uint64(4 * i)) & nibbles).sum(axis=0, dtype=np.uint64).view(np.uint16)
+    return 2 * sums.T.ravel() > 15 * len(shingles)
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether prints (their words along the first axis) are within the radius."""
+    apart = np.bitwise_count(x[0] ^ y[0])
+    for k in range(1, len(x)):
+        apart = apart + np.bitwise_count(x[k] ^ y[k])
+    return apart <= radius
+
+
+def _print_stars(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and hubs (first words) of the components of prints."""
+    members, hubs = [], []
+    left = prints
+    while left.shape[1] > 1:
+        hub, frontier, left = left[0, 0], left[:, :1], left[:, 1:]
+        while frontier.shape[1] and left.shape[1]:
+            near = np.zeros(left.shape[1], dtype=bool)
+            for k in range(0, frontier.shape[1], 64):
+                near |= _near(frontier[:, k : k + 64, None], left[:, None, :], radius).any(axis=0)
+            frontier, left = left[:, near], left[:, ~near]
+            members.append(frontier[0])
+            hubs.append(np.full(frontier.shape[1], hub))
+    empty = np.empty(0, dtype=np.uint64)
+    return np.concatenate([empty, *members]), np.concatenate([empty, *hubs])
+
+
+def _buckets_of(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of whole buckets: rows sorted by key."""
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    found = [_print_stars(prints[:, s : s + n], radius) for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist())]
+    # Small ones in step: each member with the next, the one after it and so on.
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    after = first + size - 1 - np.arange(len(keys))
+    at = np.flatnonzero((size <= SMALL) & (after > 0))
+    for step in range(1, SMALL):
+        at = at[after[at] >= step]
+        if not len(at):
+            break
+        x, y = prints[:, at], prints[:, at + step]
+        near = _near(x, y, radius) & (x[0] != y[0])
+        found.append((x[0][near], y[0][near]))
+    return found
+
+
+def _print_links(radius: int, most: float):
+    """Reads buckets sorted by key and cell and gives links a, b; members of larger buckets than `most` are given back with their key."""
+
+    def made(found, keys=None, prints=None):
+        import pyarrow as pa
+
+        a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
+        links = pa.table({"a": a, "b": b, **{c: pa.nulls(len(a), pa.int64()) for c in ("key", "p0", "p1", "p2")}})
+        if keys is not None and len(keys):
+            back = {"key": keys[:, 0], **{f"p{k}": p.view(np.int64) for k, p in enumerate(prints)}}
+            links = pa.concat_tables([links, pa.table({"a": pa.nulls(len(keys), pa.int64()), "b": pa.nulls(len(keys), pa.int64()), **back})])
+        yield from links.to_batches(max_chunksize=ROWS)
+
+    def work(keys, prints):
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        large = np.repeat(sizes > most, sizes)
+        found = _buckets_of(keys[~large], prints[:, ~large], radius) if not large.all() else []
+        none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))
+        return made([none, *found], keys[large], prints[:, large])
+
+    def run(batches):
+        keys, prints, waiting, rows = np.empty((0, 3), dtype=np.int64), np.empty((3, 0), dtype=np.uint64), [], 0
+
+        def joined():
+            columns = [np.concatenate([b.column(k).to_numpy() for b in waiting]) for k in range(6)]
+            more = np.array([c.view(np.uint64) for c in columns[3:]])
+            return np.concatenate([keys, np.stack(columns[:3], axis=1)]), np.concatenate([prints, more], axis=1)
+
+        for batch in batches:
+            waiting.append(batch)
+            rows += len(batch)
+            if rows >= ROWS:
+                keys, prints = joined()
+                last = int(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))[-1])
+                if last:
+                    yield from work(keys[:last], prints[:, :last])
+                keys, prints, waiting, rows = keys[last:], prints[:, last:], [], 0
+        if waiting:
+            keys, prints = joined()
+        if len(keys):
+            yield from work(keys, prints)
+
+    return run
+
+
+def candidates(prints: DataFrame, bits: int, radius: int, scope: str = "") -> DataFrame:
+    """Links (a, b) between first words of prints that share a band and are within the radius.
+
+    `prints`: p0, p1, p2, the words of a print, and bands, its bands of so many bits. Buckets of more
+    than `BUCKET` prints go on as pairs of parts.
+    """
+    given = "a long, b long, key long, p0 long, p1 long, p2 long"
+    keyed = prints.select("p0", "p1", "p2", F.posexplode("bands").alias("band", "v"))
+    entries = keyed.select((F.col("band").cast("long") * (1 << bits) + F.col("v")).alias("key"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "p0", "p1", "p2")
+    first = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_print_links(radius, BUCKET), given)
+    first = store.written(first.distinct(), "simhash-candidates", scope)
+    found, large = first.where("a is not null").select("a", "b"), first.where("a is null")
+    if large.isEmpty():
+        return found
+    parts = large.groupBy("key").agg(F.ceil(2 * F.count("*") / BUCKET).alias("parts"))
+    dealt = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("p0", "p1", "p2"), F.col("parts")))
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: j != F.col("part"))).alias("other")
+    cells = dealt.select("key", "part", others, "p0", "p1", "p2")
+    cells = cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "p0", "p1", "p2")
+    by = ["key", "i", "j"]
+    more = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(_print_links(radius, float("inf")), given).select("a", "b")
+    return found.unionByName(store.written(more.distinct(), "simhash-candidates", scope))
+
+
+def similar_classes(df: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
+    """id, row_hash and class of every row: the components of "word shingles agree by `similarity` or more".
+
+    The similarity is the Jaccard one of the sets of shingles; candidates come from SimHash and are
+    verified. Texts of no words link with each other. The rows are counted first: bands get a bit more
+    each time they double, from two million on.
+    """
+    store.bounded_batches(df.sparkSession)
+    bits, bands, radius = banding(similarity, df.count())
+    hashing = _hashing(-(-(PRINT + bits * bands) // WEIGHTS))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def prints_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [minhash.shingle_set(t, words) for t in batch.column(2).to_pylist()]
+            made = np.array([set_bits(s, *hashing)[: PRINT + bits * bands] for s in sets])
+            own = [pa.array(minhash.as_longs([minhash.name_of(s) for s in sets])), pa.array([len(s) for s in sets], pa.int64())]
+            own += [pa.array(p) for p in np.packbits(made[:, :PRINT], axis=1, bitorder="little").view(np.int64).T]
+            own.append(pa.FixedSizeListArray.from_arrays(pa.array((made[:, PRINT:].reshape(-1, bits) @ powers).astype(np.int32)), bands).cast(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "row_hash", "fp", "size", "p0", "p1", "p2", "bands"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    prints = minhash.rows_of(df, id_col, text_col).mapInArrow(prints_of, f"id {kind}, row_hash long, fp long, size long, p0 long, p1 long, p2 long, bands array<int>")
+    prints = store.written(prints, "simhash-prints", scope)
+    one = [F.first(c).alias(c) for c in ("size", "p0", "p1", "p2", "bands")]
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("id", "row_hash")).alias("row"), *one).where("size > 0")
+    distinct = store.written(distinct, "simhash-distinct", scope)
+    near = components(candidates(distinct, bits, radius, scope), scope)
+    grouped = distinct.join(near.withColumnRenamed("node", "p0"), "p0", "left").select("fp", "size", "row", F.coalesce("root", "p0").alias("group"))
+    links = minhash.verified_links(df, grouped, words, similarity, id_col, text_col, scope)
+    roots = components(links, scope).withColumnsRenamed({"node": "fp", "root": "class"})
+    return prints.select("id", "row_hash", "fp").join(roots, "fp", "left").select(F.col("id").alias(id_col), "row_hash", F.coalesce("class", "fp").alias("class"))
+
+
 def keep_one(df: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
     """One row of each class of similar texts, with all its columns: the least by id (null ids last), then by hash of the text."""
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "row_hash")
