@@ -442,3 +442,70 @@ def test_similar_classes_of_large_buckets(spark, monkeypatch):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 want = [want[b] if x == want[a] else x for x in want]
     assert [got.index(x) for x in got] == [want.index(x) for x in want] and len(set(want)) == 3
+
+
+def test_bits_of_sets_differ_by_their_angle():
+    rng, trials = np.random.default_rng(9), 100
+    bits, bands, radius = simhash.banding(0.8, 1000)
+    hashing = simhash._hashing((simhash.PRINT + bits * bands) // simhash.WEIGHTS)
+    for shared, a, b in [(8, 1, 1), (40, 5, 5), (160, 0, 40)]:
+        differ = []
+        for _ in range(trials):
+            x = rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64) * np.uint64(2)
+            differ.append(simhash.set_bits(x[: shared + a], *hashing) != simhash.set_bits(np.delete(x, slice(shared, shared + a)), *hashing))
+        cosine = shared / ((shared + a) * (shared + b)) ** 0.5
+        assert abs(np.mean(differ) - np.arccos(cosine) / np.pi) < 0.006
+        # Every pair at the similarity shares a band and has prints within the radius.
+        assert all((~d[simhash.PRINT :].reshape(-1, bits).any(axis=1)).any() and d[: simhash.PRINT].sum() <= radius for d in differ)
+
+
+def test_similar_texts_are_found_by_simhash_alone(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-20], *(f"new{k}" for k in range(20))])]
+    df = docs(spark, texts)
+    assert simhash.keep_one(df).count() == 1
+    # The same texts with prints that are never within the radius: no other way finds them.
+    monkeypatch.setattr(simhash, "banding", lambda similarity, n: (16, 4, -1))
+    assert simhash.keep_one(df).count() == 2
+
+
+def test_candidates_of_large_buckets(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "ROWS", 16)
+    rng, radius = np.random.default_rng(10), 40
+    flipped = lambda x, n: x ^ np.bincount(rng.choice(192, n, replace=False), minlength=192).astype(bool)
+    bases = rng.random((60, 192)) < 0.5
+    # A large group in one bucket, a chain that leaves it, and others that share its bucket or another by chance.
+    prints = [flipped(bases[0], int(rng.integers(1, 15))) for _ in range(90)]
+    prints += [flipped(b, int(rng.integers(0, 30))) for b in bases[1:30] for _ in range(3)] + list(bases[30:])
+    link = prints[0]
+    for _ in range(6):
+        link = flipped(link, 35)
+        prints.append(link)
+    bands = [[0 if k < 90 or k >= 207 else int(rng.integers(0, 2)), int(rng.integers(0, 3))] for k in range(len(prints))]
+    raw = np.packbits(np.array(prints), axis=1, bitorder="little").view(np.int64)
+    rows = [(*map(int, r), b) for r, b in zip(raw, bands)]
+    got = simhash.candidates(spark.createDataFrame(rows, "p0 long, p1 long, p2 long, bands array<int>"), 16, radius)
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if any(x == y for x, y in zip(bands[a], bands[b])) and (prints[a] != prints[b]).sum() <= radius]
+
+    def classes(pairs):
+        up = list(range(len(rows)))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    # Prints of the same first word are one node.
+    number = {int(r[0]): k for k, r in enumerate(raw)}
+    same = [(k, number[int(r[0])]) for k, r in enumerate(raw)]
+    assert classes([(number[r["a"]], number[r["b"]]) for r in got.collect()] + same) == classes(near + same)
+
+    # A large bucket is given back as it comes, whole, and its neighbours are linked.
+    keys = np.repeat([1, 2, 3], [3, 200, 3])
+    words = [np.arange(206) << 40, np.zeros(206, dtype=np.int64), np.zeros(206, dtype=np.int64)]
+    table = pa.table([pa.array(x) for x in (keys, 0 * keys, 0 * keys, *words)], names=["key", "i", "j", "p0", "p1", "p2"])
+    out = pa.Table.from_batches(simhash._print_links(radius, 8)(iter(table.to_batches(max_chunksize=5)))).to_pylist()
+    assert sorted(r["p0"] for r in out if r["a"] is None) == words[0][3:203].tolist() and {r["key"] for r in out if r["a"] is None} == {2}
+    assert {r[c] for r in out if r["a"] is not None for c in "ab"} == set(words[0][[0, 1, 2, 203, 204, 205]].tolist())
