@@ -374,7 +374,7 @@ def similar_classes(df: DataFrame, words: int = 5, similarity: float = SIMILARIT
 
     The similarity is the Jaccard one of the sets of shingles; candidates come from SimHash and are
     verified. Texts of no words link with each other. The rows are counted first: bands get a bit more
-    each time they double, from two million on.
+    each time they double, from eight million on.
     """
     store.bounded_batches(df.sparkSession)
     bits, bands, radius = banding(similarity, df.count())
