@@ -43,8 +43,10 @@ PRINT, BAND, LOSS = 192, 16, 1e-5
 BY_CHANCE = 128
 #: Shingles weighed at a time, and the weights that one hash gives.
 BLOCK, WEIGHTS = 64, 16
-#: Members of a bucket that are compared in step with other buckets'; rows read at a time.
-SMALL, ROWS = 64, 1 << 16
+#: Members of a bucket that are compared in step with other buckets'; rows read at a time; rows of a bucket that a task holds.
+SMALL, ROWS, HELD = 64, 1 << 16, 1 << 18
+#: Bands whose links come first: what they join is not linked again by the others.
+FIRST = 8
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -243,28 +245,50 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return apart <= radius
 
 
-def _print_stars(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members and hubs (first words) of the components of prints."""
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members and their hubs, the least they reach, that join the same nodes as links (a, b): fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = low < high
+        np.minimum.at(label, high[apart], low[apart])
+        x, y = x[apart], y[apart]
+        while (label[label] != label).any():
+            label = label[label]
+    joined = label != np.arange(len(nodes))
+    return nodes[joined], nodes[label[joined]]
+
+
+def _print_stars(nodes: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and hubs of the components of nodes, which may have several prints each."""
+    order = np.argsort(nodes, kind="stable")
+    nodes, prints = nodes[order], prints[:, order]
     members, hubs = [], []
-    left = prints
-    while left.shape[1] > 1:
-        hub, frontier, left = left[0, 0], left[:, :1], left[:, 1:]
-        while frontier.shape[1] and left.shape[1]:
-            near = np.zeros(left.shape[1], dtype=bool)
-            for k in range(0, frontier.shape[1], 64):
-                near |= _near(frontier[:, k : k + 64, None], left[:, None, :], radius).any(axis=0)
-            frontier, left = left[:, near], left[:, ~near]
-            members.append(frontier[0])
-            hubs.append(np.full(frontier.shape[1], hub))
+    while len(nodes) and nodes[0] != nodes[-1]:
+        hub, n = nodes[0], int(np.searchsorted(nodes, nodes[0], "right"))
+        frontier, nodes, prints = prints[:, :n], nodes[n:], prints[:, n:]
+        while len(nodes):
+            near, step = np.zeros(len(nodes), dtype=bool), max(1, SMALL * BUCKET // len(nodes))
+            for k in range(0, frontier.shape[1], step):
+                near |= _near(frontier[:, k : k + step, None], prints[:, None, :], radius).any(axis=0)
+            reached = np.unique(nodes[near])
+            if not len(reached):
+                break
+            members.append(reached)
+            hubs.append(np.full(len(reached), hub))
+            near = np.isin(nodes, reached)
+            frontier, nodes, prints = prints[:, near], nodes[~near], prints[:, ~near]
     empty = np.empty(0, dtype=np.uint64)
     return np.concatenate([empty, *members]), np.concatenate([empty, *hubs])
 
 
-def _buckets_of(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of whole buckets: rows sorted by key."""
+def _buckets_of(keys: np.ndarray, members: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of whole buckets: rows sorted by key, of a node and its print."""
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
     sizes = np.diff(np.append(starts, len(keys)))
-    found = [_print_stars(prints[:, s : s + n], radius) for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist())]
+    nodes, prints = members[0], members[1:]
+    found = [_print_stars(nodes[s : s + n], prints[:, s : s + n], radius) for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist())]
     # Small ones in step: each member with the next, the one after it and so on.
     first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
     after = first + size - 1 - np.arange(len(keys))
@@ -273,91 +297,107 @@ def _buckets_of(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple
         at = at[after[at] >= step]
         if not len(at):
             break
-        x, y = prints[:, at], prints[:, at + step]
-        near = _near(x, y, radius) & (x[0] != y[0])
-        found.append((x[0][near], y[0][near]))
+        x, y = nodes[at], nodes[at + step]
+        near = _near(prints[:, at], prints[:, at + step], radius) & (x != y)
+        found.append((x[near], y[near]))
     return found
 
 
+def _too_many(nodes: np.ndarray, most: float) -> bool:
+    """Whether a bucket holds more pairs of different nodes than one of `most` nodes, a print each."""
+    if len(nodes) <= most:
+        return False
+    own = np.unique(nodes, return_counts=True)[1]
+    return len(nodes) ** 2 - int((own**2).sum()) > most * (most - 1)
+
+
 def _print_links(radius: int, most: float):
-    """Reads buckets sorted by key and cell and gives links a, b; members of larger buckets than `most` are given back with their key, as they come."""
+    """Reads buckets sorted by key and cell and gives links a, b; members of buckets with more to compare than `most` nodes are given back with key and node, as they come.
+
+    A node is the seventh column or, where that is null or not there, the first word of the print. The
+    links of a read, of `ROWS` rows or a bucket, are a forest: fewer than its rows.
+    """
     none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))
 
-    def made(found, keys=None, prints=None):
+    def made(found, keys=None, members=None):
         import pyarrow as pa
 
-        a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
-        links = pa.table({"a": a, "b": b, **{c: pa.nulls(len(a), pa.int64()) for c in ("key", "p0", "p1", "p2")}})
+        a, b = _forest(*(np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1)))
+        links = pa.table({"a": a, "b": b, **{c: pa.nulls(len(a), pa.int64()) for c in ("key", "node", "p0", "p1", "p2")}})
         if keys is not None and len(keys):
-            back = {"key": keys[:, 0], **{f"p{k}": p.view(np.int64) for k, p in enumerate(prints)}}
+            back = {"key": keys[:, 0], **{c: x.view(np.int64) for c, x in zip(("node", "p0", "p1", "p2"), members)}}
             links = pa.concat_tables([links, pa.table({"a": pa.nulls(len(keys), pa.int64()), "b": pa.nulls(len(keys), pa.int64()), **back})])
         yield from links.to_batches(max_chunksize=ROWS)
 
-    def work(keys, prints, begun):
+    def work(keys, members, begun):
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         sizes = np.diff(np.append(starts, len(keys)))
-        large = np.repeat((sizes > most) | (keys[starts] == begun).all(axis=1), sizes)
-        found = _buckets_of(keys[~large], prints[:, ~large], radius) if not large.all() else []
-        return made([none, *found], keys[large], prints[:, large])
+        large = (keys[starts] == begun).all(axis=1)
+        for k in np.flatnonzero((sizes > most) & ~large).tolist():
+            large[k] = _too_many(members[0, starts[k] : starts[k] + sizes[k]], most)
+        large = np.repeat(large, sizes)
+        found = _buckets_of(keys[~large], members[:, ~large], radius) if not large.all() else []
+        return made([none, *found], keys[large], members[:, large])
 
     def run(batches):
-        keys, prints, waiting, rows = np.empty((0, 3), dtype=np.int64), np.empty((3, 0), dtype=np.uint64), [], 0
+        import pyarrow.compute as pc
+
+        keys, members, waiting, rows = np.empty((0, 3), dtype=np.int64), np.empty((4, 0), dtype=np.uint64), [], 0
         # The large bucket whose first members are given back already.
         begun = np.full(3, -1, dtype=np.int64)
 
         def joined():
             columns = [np.concatenate([b.column(k).to_numpy() for b in waiting]) for k in range(6)]
-            more = np.array([c.view(np.uint64) for c in columns[3:]])
-            return np.concatenate([keys, np.stack(columns[:3], axis=1)]), np.concatenate([prints, more], axis=1)
+            nodes = np.concatenate([(pc.coalesce(b.column(6), b.column(3)) if b.num_columns > 6 else b.column(3)).to_numpy() for b in waiting])
+            more = np.array([c.view(np.uint64) for c in (nodes, *columns[3:])])
+            return np.concatenate([keys, np.stack(columns[:3], axis=1)]), np.concatenate([members, more], axis=1)
 
         for batch in batches:
             waiting.append(batch)
             rows += len(batch)
             if rows >= ROWS:
-                keys, prints = joined()
+                keys, members = joined()
                 last = int(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))[-1])
                 if last:
-                    yield from work(keys[:last], prints[:, :last], begun)
-                keys, prints, waiting, rows = keys[last:], prints[:, last:], [], 0
-                if len(keys) > most:
-                    yield from made([none], keys, prints)
-                    begun, keys, prints = keys[-1], keys[:0], prints[:, :0]
+                    yield from work(keys[:last], members[:, :last], begun)
+                keys, members, waiting, rows = keys[last:], members[:, last:], [], 0
+                if len(keys) > most and (len(keys) > HELD or (keys[-1] == begun).all() or _too_many(members[0], most)):
+                    yield from made([none], keys, members)
+                    begun, keys, members = keys[-1], keys[:0], members[:, :0]
         if waiting:
-            keys, prints = joined()
+            keys, members = joined()
         if len(keys):
-            yield from work(keys, prints, begun)
+            yield from work(keys, members, begun)
 
     return run
 
 
-def candidates(prints: DataFrame, bits: int, radius: int, scope: str = "") -> DataFrame:
-    """Links (a, b) between first words of prints that share a band and are within the radius.
+def _linked_buckets(entries: DataFrame, radius: int, scope: str) -> DataFrame:
+    """Links (a, b) whose components are those of "within the radius" in any bucket.
 
-    `prints`: p0, p1, p2, the words of a print, and bands, its bands of so many bits. Only the
-    components of the links count. Buckets of more than `BUCKET` prints are linked within parts first;
-    then all that is not in the largest component of a bucket is compared with the whole bucket, as
-    pairs of parts.
+    `entries`: the key of a bucket, a print's words p0, p1, p2, and the node that it is part of (null:
+    p0). A bucket with more to compare than `BUCKET` nodes is linked within parts first; then all that
+    is not in its largest component is compared with the whole bucket, as pairs of parts.
     """
-    given = "a long, b long, key long, p0 long, p1 long, p2 long"
-    keyed = prints.select("p0", "p1", "p2", F.posexplode("bands").alias("band", "v"))
-    entries = keyed.select((F.col("band").cast("long") * (1 << bits) + F.col("v")).alias("key"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "p0", "p1", "p2")
-    first = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_print_links(radius, BUCKET), given)
-    first = store.written(first.distinct(), "simhash-candidates", scope)
-    found, large = first.where("a is not null").select("a", "b"), first.where("a is null")
+    given, by, words = "a long, b long, key long, node long, p0 long, p1 long, p2 long", ["key", "i", "j"], ["p0", "p1", "p2"]
+    zero = F.lit(0).cast("long")
+    first = entries.select("key", zero.alias("i"), zero.alias("j"), *words, "node")
+    first = first.repartition("key").sortWithinPartitions("key").mapInArrow(_print_links(radius, BUCKET), given)
+    first = store.written(first, "simhash-candidates", scope)
+    found, large = first.where("a is not null").select("a", "b"), first.where("a is null").select("key", "node", *words)
     if large.isEmpty():
         return found
-    by, words = ["key", "i", "j"], ["p0", "p1", "p2"]
 
     def linked(cells):
         links = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(_print_links(radius, float("inf")), given).select("a", "b")
-        return store.written(links.distinct(), "simhash-candidates", scope)
+        return store.written(links, "simhash-candidates", scope)
 
     some = F.pmod(F.xxhash64(*words), F.ceil(F.col("n") / BUCKET))
     dealt = large.join(large.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("i", some)
-    found = found.unionByName(linked(dealt.select("key", "i", F.col("i").alias("j"), *words)))
+    found = found.unionByName(linked(dealt.select("key", "i", F.col("i").alias("j"), *words, "node")))
 
-    roots = components(found, scope).withColumnRenamed("node", "p0")
-    placed = store.written(large.select("key", *words).join(roots, "p0", "left").withColumn("root", F.coalesce("root", "p0")), "simhash-placed", scope)
+    roots = components(found, scope)
+    placed = store.written(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed", scope)
     most = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("n"))
     # Parts of the largest component come first, then those of the rest.
     own, rest = F.ceil(2 * F.col("most.count") / BUCKET).alias("own"), F.ceil(2 * (F.col("n") - F.col("most.count")) / BUCKET).alias("rest")
@@ -366,7 +406,30 @@ def candidates(prints: DataFrame, bits: int, radius: int, scope: str = "") -> Da
     part = F.when(F.col("root") == F.col("largest"), F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest")))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("own") + F.col("rest") - 1), lambda j: (j != F.col("part")) & ((j >= F.col("own")) | (F.col("part") >= F.col("own"))))
     cells = placed.join(parts, "key").withColumn("part", part).withColumn("other", F.explode(others))
-    return found.unionByName(linked(cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *words)))
+    return found.unionByName(linked(cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *words, F.col("root").alias("node"))))
+
+
+def candidates(prints: DataFrame, bits: int, radius: int, scope: str = "") -> DataFrame:
+    """Links (a, b) between first words of prints that share a band and are within the radius.
+
+    `prints`: p0, p1, p2, the words of a print, and bands, its bands of so many bits. Only the
+    components of the links count. The first bands join what is much alike, each print to the least
+    one that it is linked with, and on from there; the others compare only what is not joined yet, and
+    their links are between what it is joined to. So a print of a group of near copies gives links
+    for about `FIRST` bands, not for all of them.
+    """
+
+    def entries(of, start, count, node):
+        keyed = of.select("p0", "p1", "p2", node.alias("node"), F.posexplode(F.slice("bands", F.lit(start + 1), count)).alias("band", "v"))
+        return keyed.withColumn("key", (F.col("band").cast("long") + start) * (1 << bits) + F.col("v"))
+
+    found = _linked_buckets(entries(prints, 0, F.lit(FIRST), F.lit(None).cast("long")), radius, scope)
+    least = store.written(found.groupBy("a").agg(F.min("b").alias("b")), "simhash-least", scope)
+    for _ in range(2):
+        onward = least.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        least = least.join(onward, "b", "left").select("a", F.coalesce("next", "b").alias("b"))
+    placed = prints.join(least.select(F.col("a").alias("p0"), F.col("b").alias("node")), "p0", "left")
+    return found.unionByName(_linked_buckets(entries(placed, FIRST, F.size("bands"), F.col("node")), radius, scope))
 
 
 def similar_classes(df: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:

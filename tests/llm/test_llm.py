@@ -509,3 +509,66 @@ def test_candidates_of_large_buckets(spark, monkeypatch):
     out = pa.Table.from_batches(simhash._print_links(radius, 8)(iter(table.to_batches(max_chunksize=5)))).to_pylist()
     assert sorted(r["p0"] for r in out if r["a"] is None) == words[0][3:203].tolist() and {r["key"] for r in out if r["a"] is None} == {2}
     assert {r[c] for r in out if r["a"] is not None for c in "ab"} == set(words[0][[0, 1, 2, 203, 204, 205]].tolist())
+
+
+def test_links_of_near_copies_grow_with_their_number(spark):
+    import pyarrow as pa
+
+    rng, n, bands = np.random.default_rng(12), 120, 40
+    prints = rng.random((n, 192)) < np.repeat([0, 0.02], [64, 128])
+    raw = np.packbits(prints ^ (rng.random(192) < 0.5), axis=1, bitorder="little").view(np.int64)
+    # Another first word each, so that each is a node.
+    raw[:, 0] ^= np.arange(n) << 32
+    rows = [(*map(int, r), rng.integers(0, 3, bands).tolist()) for r in raw]
+    got = simhash.candidates(spark.createDataFrame(rows, "p0 long, p1 long, p2 long, bands array<int>"), 16, 60).collect()
+    assert n - 1 <= len(got) <= n * (simhash.FIRST + 1)
+    assert len(set(r["root"] for r in components.components(spark.createDataFrame(got, "a long, b long")).collect())) == 1
+
+    def made(keys, nodes=None, most=8):
+        first = (np.arange(len(keys)) << 40) + 1
+        columns = {"key": np.array(keys), "i": np.zeros(len(keys), dtype=np.int64), "j": np.zeros(len(keys), dtype=np.int64), "p0": first, "p1": 0 * first, "p2": 0 * first}
+        table = pa.table({c: pa.array(x) for c, x in columns.items()} | ({} if nodes is None else {"node": pa.array(nodes, pa.int64())}))
+        return [r for b in simhash._print_links(8, most)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+
+    # Small buckets and larger ones give a forest, the same one twice included.
+    assert len(made([1] * 60, most=100)) == 59 and len(made([1] * 90, most=100)) == 89
+    assert len(made([1] * 60 + [2] * 60, [*range(60)] * 2, most=100)) == 59
+    # What is joined already gives nothing, however large, and others one link to all of it.
+    assert made([1] * 200, [5] * 200) == []
+    assert {frozenset((r["a"], r["b"])) for r in made([1] * 30, [5] * 29 + [9], most=10)} == {frozenset((5, 9))}
+    assert {r["a"] for r in made([1] * 30, [5] * 15 + [None] * 15)} == {None}
+
+
+def test_candidates_of_later_bands(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "ROWS", 16)
+    rng, radius = np.random.default_rng(13), 40
+    flipped = lambda x, n: x ^ np.bincount(rng.choice(192, n, replace=False), minlength=192).astype(bool)
+    bases = rng.random((40, 192)) < 0.5
+    # A group that the first band joins in two halves, chains out of it, and others that share buckets by chance.
+    prints = [flipped(bases[0], int(rng.integers(1, 15))) for _ in range(80)]
+    prints += [flipped(b, int(rng.integers(1, 30))) for b in bases[1:20] for _ in range(3)] + list(bases[20:])
+    for start in (0, 40):
+        link = prints[start]
+        for _ in range(5):
+            link = flipped(link, 35)
+            prints.append(link)
+    bands = [[k // 40 if k < 80 else int(rng.integers(0, 40)), int(rng.integers(0, 2)), int(rng.integers(0, 30))] for k in range(len(prints))]
+    raw = np.packbits(np.array(prints), axis=1, bitorder="little").view(np.int64)
+    rows = [(*map(int, r), b) for r, b in zip(raw, bands)]
+    got = simhash.candidates(spark.createDataFrame(rows, "p0 long, p1 long, p2 long, bands array<int>"), 16, radius)
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if any(x == y for x, y in zip(bands[a], bands[b])) and (prints[a] != prints[b]).sum() <= radius]
+
+    def classes(pairs):
+        up = list(range(len(rows)))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    # Prints of the same first word are one node.
+    number = {int(r[0]): k for k, r in enumerate(raw)}
+    same = [(k, number[int(r[0])]) for k, r in enumerate(raw)]
+    want = classes(near + same)
+    assert classes([(number[r["a"]], number[r["b"]]) for r in got.collect()] + same) == want and len(set(want)) > 20
