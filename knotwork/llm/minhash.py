@@ -7,6 +7,11 @@ verified on its whole sets, so nothing below the similarity links.
 Only sets that have a candidate are read again. A group is dealt into parts by hash and each pair of
 parts is one cell, a task's unit of bounded size; every pair of the group meets in a cell. A cell gives
 a star for each of its components rather than pairs.
+
+A group of more than `PAIRED` parts is compared within parts first; then one set of each component with
+those of other parts; then all that is outside the largest component with the whole group, as pairs of
+parts. So every pair that is not joined yet meets in a cell, and a group of near copies that get joined
+costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -16,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm import store
+from knotwork.llm.components import components
 
 SIMILARITY = 0.8
 #: Sets and shingles of one part of a group, about.
 PART_SETS, PART_SHINGLES = 512, 1 << 20
+#: Parts of a group of which all pairs are compared at once.
+PAIRED = 16
 #: Shingles hashed at a time of one text.
 STEP = 1 << 15
 
@@ -128,17 +136,51 @@ def verified_links(df: DataFrame, sets: DataFrame, words: int, similarity: float
                 yield pa.RecordBatch.from_arrays([pa.array(as_longs([name_of(s)])), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["fp", "sh"])
 
     groups = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-    parts = F.greatest(F.ceil(F.col("n") / PART_SETS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int").alias("parts")
-    members = store.written(sets.join(groups.select("group", parts), "group").select("group", "fp", "row", "parts"), "similar-members", scope)
+    parts_of = lambda n, total: F.greatest(F.ceil(F.col(n) / PART_SETS), F.ceil(F.col(total) / PART_SHINGLES)).cast("int")
+    members = sets.join(groups.select("group", parts_of("n", "total").alias("parts")), "group").select("group", "fp", "size", "row", "parts")
+    members = store.written(members, "similar-members", scope)
 
     # The sets of those that have a candidate, from one of their texts.
     wanted = members.select(F.col("row.id").alias("i"), F.col("row.row_hash").alias("r"))
     texts = rows_of(df, id_col, text_col).join(wanted, F.expr("id <=> i and row_hash = r"), "left_semi").dropDuplicates(["id", "row_hash"])
     whole = store.written(texts.select("text").mapInArrow(sets_of, "fp long, sh array<long>"), "similar-sets", scope)
 
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    def linked(cells):
+        cells = cells.join(whole, "fp").select("key", "i", "j", "fp", "sh").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+        return store.written(cells.mapInArrow(_cell_links(similarity), "a long, b long"), "similar-links", scope)
+
+    key, hashed = F.col("group").alias("key"), F.xxhash64("fp")
+    within = F.pmod(hashed, F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != F.col("part")) | (F.col("parts") == 1))
-    cells = members.withColumn("part", part).select("group", "fp", "part", F.explode(others).alias("other"))
-    cells = cells.select(F.col("group").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp").join(whole, "fp")
-    cells = cells.select("key", "i", "j", "fp", "sh").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return cells.mapInArrow(_cell_links(similarity), "a long, b long")
+    cells = members.withColumn("part", within).withColumn("other", F.explode(F.when(F.col("parts") > PAIRED, F.array("part")).otherwise(others)))
+    found = linked(cells.select(key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp"))
+    large = members.where(F.col("parts") > PAIRED)
+    if large.isEmpty():
+        return found
+
+    def rooted():
+        roots = components(found, scope).withColumnRenamed("node", "fp")
+        placed = large.select("group", "fp", "size").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        return store.written(placed, "similar-placed", scope)
+
+    # One set of each component with those of other parts, as long as that joins them.
+    before, last = None, False
+    while True:
+        placed = rooted()
+        hubs = placed.where("root = fp")
+        n = hubs.count()
+        if last or before is not None and 2 * n > before:
+            break
+        dealt = hubs.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("group", parts_of("n", "total").alias("parts"))
+        found = found.unionByName(linked(hubs.join(dealt, "group").select(key, within.alias("i"), within.alias("j"), "fp")))
+        before, last = n, dealt.where("parts > 1").isEmpty()
+
+    # What is outside the largest component with the whole group: parts of that component come first.
+    sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    most = sizes.groupBy("group").agg(F.max(F.struct("n", "total", "root")).alias("most"), F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > most.n")
+    most = most.select("group", F.col("most.root").alias("largest"), parts_of("most.n", "most.total").alias("own"), (F.col("n") - F.col("most.n")).alias("n"), (F.col("total") - F.col("most.total")).alias("total"))
+    parts = most.withColumn("rest", parts_of("n", "total")).select("group", "largest", "own", "rest")
+    part = F.when(F.col("root") == F.col("largest"), F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("own") + F.col("rest") - 1), lambda j: (j != F.col("part")) & ((j >= F.col("own")) | (F.col("part") >= F.col("own"))))
+    cells = placed.join(parts, "group").withColumn("part", part).withColumn("other", F.explode(others))
+    return found.unionByName(linked(cells.select(key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")))

@@ -572,3 +572,19 @@ def test_candidates_of_later_bands(spark, monkeypatch):
     same = [(k, number[int(r[0])]) for k, r in enumerate(raw)]
     want = classes(near + same)
     assert classes([(number[r["a"]], number[r["b"]]) for r in got.collect()] + same) == want and len(set(want)) > 20
+
+
+def test_verified_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_SETS", 4)
+    monkeypatch.setattr(minhash, "PAIRED", 1, raising=False)
+    made, real = [], minhash.verified_links
+    monkeypatch.setattr(minhash, "verified_links", lambda *a, **k: made.append(real(*a, **k)) or made[0])
+    w = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*w[:k], f"x{k}", *w[k + 1 :]]) for k in range(60)]
+    assert len({r["class"] for r in simhash.similar_classes(docs(spark, texts)).collect()}) == 1
+    assert 59 <= made[0].count() <= 2 * 60
+
+
+def test_similar_classes_of_very_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRED", 2)
+    test_similar_classes_of_large_buckets(spark, monkeypatch)
