@@ -148,6 +148,51 @@ def test_pagerank_of_many_seeds_holds_a_row_a_node(spark, monkeypatch):
     assert max(n for types, n in held if "node" in types) <= 2 * 12 < 7 * 12
 
 
+def fixpoint(near, seed, alpha=0.85):
+    """Scores of a plain loop that runs until nothing changes any more."""
+    now = {n: float(n == seed) for n in near}
+    for _ in range(400):
+        now = {n: sum(alpha * now[m] / len(near[m]) for m in near[n]) + (1 - alpha) * (n == seed) for n in near}
+    return now
+
+
+def small_graph(spark):
+    pairs = [("kr-1", "c1"), ("kr-1", "c2"), ("kr-2", "c2"), ("kr-2", "c3")] + [(f"pulse-{k:02}", f"c{1 + k % 3}") for k in range(40)] + [(f"pulse-{k:02}", f"f{k % 7}") for k in range(0, 40, 3)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return spark.createDataFrame([(a, b, "SERVES") for a, b in pairs], EDGES), near
+
+
+def test_pagerank_leaves_no_state_of_its_rounds(spark):
+    import pathlib
+
+    edges, near = small_graph(spark)
+    G.kept(edges)
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{G._own[0]}").removeprefix("file:")
+    held = lambda: set(pathlib.Path("/" + folder.lstrip("/"), "knotwork-graph").iterdir())
+    before = held()
+    seeds = spark.createDataFrame([(f"s{k}", f"kr-{k}", 1.0) for k in (1, 2)], "seed string, node string, weight double")
+    best = V.episodes_for(edges, seeds, 3)
+    # One table of results, and the seeds: no pairs, numbers or scores of any round.
+    assert len(held() - before) <= 3
+    for k in (1, 2):
+        want = fixpoint(near, f"kr-{k}")
+        top = sorted((n for n in near if n.startswith("pulse-")), key=lambda n: (round(want[n], 9), n))[:-4:-1]
+        assert [(r["episode"], r["score"]) for r in sorted(best.where(F.col("seed") == f"s{k}").collect(), key=lambda r: (want[r["episode"]].__round__(9), r["episode"]), reverse=True)] == [(n, round(want[n], 4)) for n in top]
+
+
+def test_pagerank_over_many_blocks(spark, monkeypatch):
+    for name, value in (("WIDTH", 1), ("LEAST_BLOCK", 5), ("BLOCK", 5), ("AT_ONCE", 1)):
+        monkeypatch.setattr(G, name, value)
+    edges, near = small_graph(spark)
+    seeds = spark.createDataFrame([(f"kr-{k}", f"kr-{k}", 1.0) for k in (1, 2)], "seed string, node string, weight double")
+    got = {(r["seed"], r["node"]): r["score"] for r in G.pagerank(edges, seeds).collect()}
+    want = {(s, n): p for s in ("kr-1", "kr-2") for n, p in fixpoint(near, s).items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
+
+
 def test_no_episode_gives_no_replica(spark):
     edges = spark.createDataFrame([("kr-1", "a", "SERVES"), ("q", "pulse-2", "MENTIONS")], EDGES)
     seeds = spark.createDataFrame([("kr-1", "kr-1", 1.0), ("kr-9", "kr-9", 1.0)], "seed string, node string, weight double")
@@ -219,6 +264,23 @@ def test_streaming_windows(spark, tmp_path):
     assert sorted((r["n"], r["total"]) for r in spark.sql("select * from w").collect()) == [(1, 4.0), (2, 3.0)]
 
 
+def test_nearest_keeps_ties_by_id_and_what_has_no_distance(spark):
+    rows = [(f"n{i:03}", [1.0, 0.0]) for i in range(300)] + [("a", [0.0, 1.0]), ("z", [1.0, 1e-11]), ("y", [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query string, q array<double>")
+    for k in (3, 302):
+        got = sorted(V.nearest(df, asked, k).collect(), key=lambda r: (r["distance"], r["id"]))
+        assert [r["id"] for r in got] == sorted((n for n, _ in rows), key=lambda n: ({"a": 2, "y": 1}.get(n, 0), n))[:k]
+    odd = df.unionAll(spark.createDataFrame([("none", None), ("gap", [1.0, None])], df.schema))
+    assert {r["id"] for r in V.nearest(odd, asked, 2).collect()} == {"gap", "none"}
+
+
+def test_titles_are_embedded_as_texts(spark):
+    df = spark.createDataFrame([(1, "One two ONE"), (2, None), (3, "two one one"), (4, "--")], "id long, text string")
+    rows = [{r["id"]: r["embedding"] for r in f(df, "id", "text", 16).collect()} for f in (V.embed, V.embed_titles)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
 def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "MOST_QUERIES", 2)
     df = spark.createDataFrame([(i, [float(i * i), 1.0]) for i in range(12)], "vec_id long, embedding array<float>")
