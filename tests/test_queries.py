@@ -62,6 +62,20 @@ def test_episode_parse_takes_every_order(spark, tmp_path):
     assert len(got) == 4 and got == canonical(rel.fetchall(), rel.columns)
 
 
+def test_every_goal_has_its_episodes(spark):
+    rows = plans.QUERIES["ppr_topk"](spark, SF).collect()
+    customers = dict(duckdb.sql(f"select c_custkey, c_nationkey from '{SF}/customer.parquet'").fetchall())
+    orders = duckdb.sql(f"select o_custkey, count(distinct o_orderkey) from '{SF}/orders.parquet' group by 1").fetchall()
+    have = {}
+    for c, n in orders:
+        if c in customers:
+            have[f"kr-{customers[c]}"] = have.get(f"kr-{customers[c]}", 0) + n
+    got = {}
+    for r in rows:
+        got[r["seed"]] = got.get(r["seed"], 0) + 1
+    assert len(have) > 1 and got == {goal: min(10, n) for goal, n in have.items()}
+
+
 def test_every_50th_vector_is_searched(spark):
     got = plans.QUERIES["knn_seeds"](spark, SF)
     want = [r[0] for r in duckdb.sql(f"select vec_id from '{SF}/embeddings.parquet' where vec_id % 50 = 0 order by 1").fetchall()]
